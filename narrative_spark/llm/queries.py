@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate
+from .decontaminate import contamination
 from .packing import pack_documents
 from .runtime import table
+from .sharding import shard
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_file_table
 
@@ -13,6 +17,10 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
+def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op3_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_table(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, end_id=2)
 
@@ -21,9 +29,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=1, capacity=4096)
 
 
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, distance=4)
+
+
+def op8_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_orc_token_files, op5_best_fit_packing, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_minimax_shards, op3_orc_token_files, op5_best_fit_packing, op7_simhash_groups, op8_benchmark_index, op10_token_counts)}
+ORACLES: dict[str, str] = {"op8_benchmark_index": decontaminate.ORACLE}
