@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate
 from .decontaminate import contamination
+from .language_id import identify
 from .packing import pack_documents
 from .runtime import table
 from .sharding import shard
@@ -37,9 +38,13 @@ def op8_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
 
+def op9_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_minimax_shards, op3_orc_token_files, op5_best_fit_packing, op7_simhash_groups, op8_benchmark_index, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_minimax_shards, op3_orc_token_files, op5_best_fit_packing, op7_simhash_groups, op8_benchmark_index, op9_cross_parsing_language, op10_token_counts)}
 ORACLES: dict[str, str] = {"op8_benchmark_index": decontaminate.ORACLE}
