@@ -13,11 +13,16 @@ from .sharding import shard
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_file_table
+from .toxicity import score_documents
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=24)
 
@@ -46,5 +51,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_minimax_shards, op3_orc_token_files, op5_best_fit_packing, op7_simhash_groups, op8_benchmark_index, op9_cross_parsing_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_minimax_shards, op3_orc_token_files, op5_best_fit_packing, op7_simhash_groups, op8_benchmark_index, op9_cross_parsing_language, op10_token_counts)}
 ORACLES: dict[str, str] = {"op8_benchmark_index": decontaminate.ORACLE}
