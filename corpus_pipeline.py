@@ -1,13 +1,60 @@
-"""Corpus pipeline: stages over ``documents``, each one's result written and read again as the next one's input."""
+"""Corpus pipeline over ``documents``: each stage's result is written and read again as the next one's input.
+
+Language identification, toxicity, near-duplicate removal, benchmark decontamination, then packing into training
+sequences. Each stage decides over all rows that the one before kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from narrative_spark.llm.decontaminate import drop_contaminated
+from narrative_spark.llm.language_id import keep_identified
+from narrative_spark.llm.packing import pack_documents
+from narrative_spark.llm.queries import WORD_VOCABULARY
+from narrative_spark.llm.runtime import stored
+from narrative_spark.llm.simhash import keep_one
+from narrative_spark.llm.toxicity import drop_toxic
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; null texts and texts without a letter go."""
+    return keep_identified(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.3; the model learns from the labels of documents that got here."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    return keep_one(docs, width=4, distance=4)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten words of a benchmark item."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, in sequences of 4096 tokens."""
+    return pack_documents(docs, WORD_VOCABULARY, end_id=1, capacity=4096)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+#: Models and tokenizers can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate
 from .decontaminate import contamination
+from .html_text import extract_pages
 from .language_id import identify
+from .matroska import media_table
 from .packing import pack_documents
 from .runtime import table
 from .sharding import shard
@@ -31,10 +33,18 @@ def op3_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_table(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, end_id=2)
 
 
+def op4_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_table(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=1, capacity=4096)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, distance=4)
 
@@ -51,5 +61,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY, limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_minimax_shards, op3_orc_token_files, op5_best_fit_packing, op7_simhash_groups, op8_benchmark_index, op9_cross_parsing_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_minimax_shards, op3_orc_token_files, op4_matroska_packets, op5_best_fit_packing, op6_main_text, op7_simhash_groups, op8_benchmark_index, op9_cross_parsing_language, op10_token_counts)}
 ORACLES: dict[str, str] = {"op8_benchmark_index": decontaminate.ORACLE}

@@ -354,9 +354,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicates; of rows that repeat an id, one."""
+    """The rows of ``docs`` but those whose id isn't the smallest of their near-duplicates.
+
+    Of rows that repeat an id, one stays; rows without an id stay, as nothing can name them.
+    """
     found = near_duplicates(docs, width, distance)
-    keys = stored(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id"), "kept")
-    kept = docs.join(keys.distinct().hint("shuffle_merge"), "doc_id", "left_semi").select(*docs.columns)
+    gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     ids = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return kept if ids["n"] == ids["d"] else kept.dropDuplicates(["doc_id"])
+    if ids["n"] == ids["d"]:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
