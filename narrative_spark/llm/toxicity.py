@@ -15,8 +15,8 @@ from .sampling import held_out, sample_texts
 
 TOKEN = re.compile(r"[^\W\d_]+")
 SEGMENT = 128
-#: Chance at most of a labelling feature to stand in toxic texts alone if it had nothing to do with the label.
-CHANCE = 1e-6
+#: Texts that a feature must stand in to be tested. As many features pass by chance as one in all the tests.
+LEAST_TEXTS = 4
 MEMO = 700_000
 
 
@@ -51,12 +51,9 @@ def labelling_features(docs: list[tuple[list[str], int]]) -> set[str]:
     rate = n[1] / max(1, n[0] + n[1])
     if not 0 < rate < 1:
         return set()
-    found = set()
-    for f, k in toxic.items():
-        m = k + clean[f]
-        if k > 0.9 * m and k * math.log(rate) + math.log(math.comb(m, k)) < math.log(CHANCE):
-            found.add(f)
-    return found
+    tested = {f: (k, k + clean[f]) for f, k in toxic.items() if k + clean[f] >= LEAST_TEXTS}
+    limit = -math.log(max(2, len(tested)))
+    return {f for f, (k, m) in tested.items() if k > 0.9 * m and k * math.log(rate) + math.log(math.comb(m, k)) < limit}
 
 
 def chain_marginals(emission, transition, lengths):
@@ -186,11 +183,17 @@ class ToxicityModel:
         import numpy as np
 
         x = np.column_stack([np.ones(len(texts)), *self.aggregates(texts)[:3]])
+        loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 5e-3 * (w @ w)
         w = np.zeros(4)
-        for _ in range(25):
+        for _ in range(50):  # Newton's method; a step is halved until it helps
             p = sigmoid(x @ w)
             h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
-            w += np.clip(np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w), -2, 2)
+            step, now = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w), loss(w)
+            while np.abs(step).max() > 1e-6 and loss(w + step) > now:
+                step = step / 2
+            w = w + step
+            if np.abs(step).max() <= 1e-6:
+                break
         self.score_weights = tuple(w.tolist())
 
     def aggregates(self, texts: list[str]):
