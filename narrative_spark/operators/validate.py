@@ -81,11 +81,11 @@ def card_findings(cards: DataFrame, first_mes: tuple[int, int] = (20, 300)) -> D
     each = [F.when(empty(c), F.struct(F.lit("missing").alias("rule"), F.lit(c).alias("item"))) for c in REQUIRED]
     each += [F.when(empty(c), F.struct(F.lit("empty").alias("rule"), F.lit(c).alias("item"))) for c in EXPECTED]
     example = F.col("mes_example")
-    each.append(F.when(~empty("mes_example") & ~F.contains(example, F.lit("<START>")), F.struct(F.lit("marker"), F.lit("<START>"))))
+    each.append(F.when(~empty("mes_example") & ~F.contains(example, F.lit("<START>")), F.struct(F.lit("marker").alias("rule"), F.lit("<START>").alias("item"))))
     for p in ("{{char}}", "{{user}}"):
-        each.append(F.when(~empty("mes_example") & ~F.contains(example, F.lit(p)), F.struct(F.lit("placeholder"), F.lit(p))))
+        each.append(F.when(~empty("mes_example") & ~F.contains(example, F.lit(p)), F.struct(F.lit("placeholder").alias("rule"), F.lit(p).alias("item"))))
     n = F.length("first_mes")
-    each.append(F.when(~empty("first_mes") & ~n.between(*first_mes), F.struct(F.lit("length"), F.lit("first_mes"))))
+    each.append(F.when(~empty("first_mes") & ~n.between(*first_mes), F.struct(F.lit("length").alias("rule"), F.lit("first_mes").alias("item"))))
     return cards.select("name", F.inline(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("rule", "item"))
 
 

@@ -94,7 +94,7 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """``(name, text)`` of template files, without a comment at their head."""
     rows = spark.read.text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    return rows.select(name.alias("name"), F.ltrim(F.regexp_replace("value", r"(?s)^\s*<!--.*?-->", "")).alias("text"))
+    return rows.select(name.alias("name"), F.regexp_replace("value", r"(?s)^\s*(?:<!--.*?-->)?\s*", "").alias("text"))
 
 
 def complete_texts(raw: DataFrame, end_marker: str) -> DataFrame:
