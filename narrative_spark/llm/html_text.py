@@ -262,19 +262,26 @@ class PageModel:
 # ---- training pages
 
 
-def _words(r: random.Random, n: int) -> str:
+class _Random(random.Random):
+    """Also how long a page's sentences are."""
+
+    run = (3, 16)
+
+
+def _words(r: _Random, n: int) -> str:
     make = lambda: "".join(r.choice(("ba", "re", "ti", "on", "es", "la", "mo", "su", "der", "an", "the", "qui")) for _ in range(r.randint(1, 4)))
     out = []
     while n > 0:
-        k = min(n, r.randint(3, 16))
+        k = min(n, r.randint(*r.run))
         out.append(" ".join(make() for _ in range(k)).capitalize() + r.choice(".....!?,;"))
         n -= k
     return " ".join(out)
 
 
-def training_page(r: random.Random) -> str:
+def training_page(r: _Random) -> str:
     """A page of random layout. Elements of the article carry the attribute ``k``; its value isn't a feature."""
     plain = r.random() < 0.25  # no helpful attributes at all
+    r.run = r.choice(((3, 16), (3, 16), (2, 6), (20, 60), (200, 300)))
 
     def attr(*names: str) -> str:
         return "" if plain or r.random() < 0.15 else f' {r.choice(("class", "id"))}="{r.choice(names)}"'
@@ -384,7 +391,7 @@ def fit(pages: DataFrame | None = None, made: int = 600, sample: int = 150, most
     """
     import numpy as np
 
-    r = random.Random(seed)
+    r = _Random(seed)
     rows, labels = [], []
     for _ in range(made):
         order, own = _marked_tree(training_page(r))
