@@ -253,7 +253,7 @@ def index_pages(distance: int):
                     if last and not final and at + PAGE > e:
                         hold = at
                         break
-                    p = page(rot[s], key[s], val[at : at + PAGE], give)
+                    p = page(rot[s], key[s], val[at : min(at + PAGE, e)], give)
                     if p:
                         pages.append(p)
                 open_bucket[0] = code[s]
