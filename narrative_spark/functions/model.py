@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .text import clean_name, col
 
 Completion = Callable[[str], dict]
@@ -37,6 +38,7 @@ def complete_rows(prompts: DataFrame, complete: Completion, retries: int = 2, ba
 
     ``complete`` is sent to the workers, so it must be serialisable; a service's client belongs inside it.
     """
+    ship_package(prompts.sparkSession)
     names = [x.split()[0] for x in CALL.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from ..runtime import ship_package
 
 #: Tried strictly in this order once no byte-order mark and no UTF-16 pattern is found (fixed values).
 ENCODINGS = ("utf-8", "gb18030", "big5")
@@ -60,6 +61,7 @@ def decoded(raw: DataFrame) -> DataFrame:
 
     Valid UTF-8 without a mark stays in the JVM; only other files go through Python.
     """
+    ship_package(raw.sparkSession)
     text = F.col("content").cast("string")
     plain = F.is_valid_utf8(text) & ~F.startswith(F.hex(F.substring("content", 1, 3)), F.lit("EFBBBF")) & ~F.contains(text, F.lit("\x00"))
     rows = raw.select("path", "content").withColumn("plain", plain)
