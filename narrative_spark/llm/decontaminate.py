@@ -12,6 +12,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words once A-Z are lower-cased: all of ASCII but digits and a-z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Bits of the filter that keeps documents without candidates out of a join: a table of 131,072 rows at most.
+FILTER_BITS = 1 << 23
+
 
 def split_words(text: Column) -> Column:
     """The words of a text; the first and the last element can be empty, where the text begins or ends otherwise."""
@@ -58,6 +61,18 @@ def plan_windows(terms: DataFrame, counts: DataFrame, width: int) -> DataFrame:
     )
 
 
+def near_rows(postings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Postings of rows that may have a candidate: a filter of ``FILTER_BITS`` bits, as a table of 64-bit words.
+
+    The table has ``FILTER_BITS / 64`` rows at most, so it is small enough to broadcast at any size of the corpus; it
+    keeps most other postings out of the shuffle. Rows that it lets through by chance find no candidate in the join.
+    """
+    place = F.xxhash64("rid").bitwiseAND(F.lit(FILTER_BITS - 1))
+    word, bit = F.shiftrightunsigned(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    words = candidates.select(word.alias("word"), F.expr("shiftleft(1L, cast(xxhash64(rid) & 63 as int))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits"))
+    return postings.withColumn("word", word).join(F.broadcast(words), "word").where(F.getbit("bits", bit) == 1).select(*postings.columns)
+
+
 def phrase_matches(index: DataFrame, terms: DataFrame, windows: DataFrame) -> DataFrame:
     """``(rid, item_id, start, len)`` of every occurrence of every window, from the postings alone.
 
@@ -78,7 +93,7 @@ def phrase_matches(index: DataFrame, terms: DataFrame, windows: DataFrame) -> Da
         .select("rid", "delta", "item", "item_id", "j", "len")
     )
     candidates = stored(first.where("term_b is null").select(both.columns).unionByName(both), "candidates")
-    in_docs = postings.join(candidates.select("rid").distinct(), "rid", "left_semi")
+    in_docs = near_rows(postings, candidates)
     wanted = candidates.join(terms.select("item", "ipos", F.col("term").alias("want")), "item").where("ipos >= j and ipos < j + len")
     wanted = wanted.select("rid", (F.col("delta") + F.col("ipos")).alias("pos"), F.col("want").alias("term"), "item", "item_id", "j", "delta", "len")
     found = wanted.join(in_docs, ["rid", "pos", "term"]).groupBy("rid", "item", "item_id", "j", "delta", "len").agg(F.count("*").alias("n"))
