@@ -23,7 +23,8 @@ def sample_texts(docs: DataFrame, labels: DataFrame, per_label: int, most_bytes:
     order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     # twice as many, as some texts are too long; a rank limit works before the shuffle
     chosen = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * per_label)
-    found = rows.join(chosen, "doc_id").dropDuplicates(["doc_id", "label"])
+    # at most 2 x per_label ids a label: a bounded side, so that no text is shuffled to meet it
+    found = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "label"])
     again = W.partitionBy("label").orderBy("rank")
     kept = found.withColumn("place", F.row_number().over(again)).where(F.col("place") <= per_label)
     return [(r.text, r.label) for r in kept.orderBy("label", "place").select("text", "label").collect()]
