@@ -15,7 +15,8 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Below it no character changes under NFC, and lower-casing a letter doesn't depend on its neighbours.
 LATIN_END = "\u0130"
-MEMO_ENTRIES = 700_000
+#: Entries of a memo of words, and of the memos of byte-level pieces, which repeat less.
+MEMO_ENTRIES, BYTE_MEMO_ENTRIES = 300_000, 700_000
 MEMO_KEY = 96
 _LOADED: dict[tuple[str, str], "Encoder"] = {}
 
@@ -66,6 +67,7 @@ class Encoder:
     """
 
     PATTERN = ""
+    ENTRIES = MEMO_ENTRIES
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,7 +81,7 @@ class Encoder:
         self.pattern = regex.compile(self.PATTERN)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_alphabet()
-        self.parts = _Memo(self._part, MEMO_ENTRIES)
+        self.parts = _Memo(self._part, self.ENTRIES)
 
     def _normal(self, text: str) -> str:
         return text
@@ -125,7 +127,7 @@ class WordEncoder(Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.memo = _Memo(self._ask, MEMO_ENTRIES)
+        self.memo = _Memo(self._ask, self.ENTRIES)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         get = self.memo.__getitem__
@@ -137,10 +139,11 @@ class ByteEncoder(Encoder):
     """For byte-level vocabularies that keep white space as a prefix of the next piece."""
 
     PATTERN = BYTE_PATTERN
+    ENTRIES = BYTE_MEMO_ENTRIES
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.inner = _Memo(self._inner, MEMO_ENTRIES)
+        self.inner = _Memo(self._inner, self.ENTRIES)
 
     def _inner(self, word: str) -> bytes:
         """The ids of a word with the white space before it: a line feed that it holds, or else a space."""

@@ -4,32 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import ship_package
+
 #: Limits of one Arrow batch on its way to Python. They bound a worker's memory whatever the length of the texts.
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the workers this package, once a Spark context, whether or not it is installed on their machines."""
-    context = spark.sparkContext
-    if getattr(context, "_narrative_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="narrative-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-        for file in sorted(package.rglob("*.py")):
-            archive.write(file, f"{package.name}/{file.relative_to(package)}")
-    context.addPyFile(str(target))
-    context._narrative_shipped = True
-
-
 def bounded_arrow(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and by bytes for plans that this session runs from now on."""
     ship_package(spark)

@@ -17,7 +17,7 @@ TOKEN = re.compile(r"[^\W\d_]+")
 SEGMENT = 128
 #: Texts that a feature must stand in to be tested. As many features pass by chance as one in all the tests.
 LEAST_TEXTS = 4
-MEMO = 700_000
+MEMO = 250_000
 
 
 def token_features(word: str) -> list[str]:
@@ -210,7 +210,7 @@ class ToxicityModel:
         while at < len(order) and sizes[order[at]]:
             width = int(sizes[order[at]])
             end = at + 1
-            while end < len(order) and sizes[order[end]] and 2 * sizes[order[end]] >= width and (end - at) * width < 4_000_000:
+            while end < len(order) and sizes[order[end]] and 2 * sizes[order[end]] >= width and (end - at) * width < 500_000:
                 end += 1
             own = order[at:end]
             e = np.zeros((len(own), width))
