@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from narrative_spark.llm.decontaminate import drop_contaminated
+from narrative_spark.llm.jaccard import keep_one_similar
 from narrative_spark.llm.language_id import keep_identified
 from narrative_spark.llm.packing import pack_documents
 from narrative_spark.llm.queries import WORD_VOCABULARY
 from narrative_spark.llm.runtime import stored
-from narrative_spark.llm.simhash import keep_one
 from narrative_spark.llm.toxicity import drop_toxic
 
 
@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    return keep_one(docs, width=4, distance=4)
+    """One document, that of the smallest id, of each group of texts with a five-word Jaccard similarity of 0.8 or more."""
+    return keep_one_similar(docs, width=5, num=4, den=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

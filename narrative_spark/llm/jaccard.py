@@ -1,0 +1,234 @@
+"""Near copies by the exact Jaccard similarity of word-shingle sets: prefix filter, verified pairs, components."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .runtime import bounded_arrow, stored
+
+SEED = 42
+#: One id of so many is looked at for frequent shingles, those seen so often there count as frequent, and so many at
+#: most. They set the order of shingles only, and results are the same under any order.
+SAMPLE, OFTEN, MOST_FREQUENT = 64, 4, 50_000
+#: Pairs of one batch out of Python.
+BATCH = 1 << 16
+
+
+def shingle_set(data: bytes, width: int):
+    """The sorted distinct hashes of runs of ``width`` words; of a shorter text, that of all its words."""
+    import numpy as np
+    import xxhash
+
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    k, digest = min(width, len(words)), xxhash.xxh64_intdigest
+    text, ends, at = b" ".join(words), [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0, *(e + 1 for e in ends)]
+    return np.unique(np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts, ends[k - 1 :])), np.uint64, len(words) - k + 1))
+
+
+def frequent_shingles(docs: DataFrame, width: int):
+    """Sorted hashes of shingles that stand in many documents of a sample."""
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text or b"", width).view(np.int64))], names=["s"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary").alias("text"))
+    often = some.mapInArrow(run, "s bigint").groupBy("s").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(MOST_FREQUENT)
+    return np.sort(np.array([r.s for r in often.select("s").collect()], dtype=np.int64).view(np.uint64))
+
+
+def shingled(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``(doc_id, digest, n, prefix, head, whole)``: a set's digest, size, and first shingles in the order of frequent
+    ones last, then by hash. Sets whose similarity is ``num / den`` or more share a shingle of their prefixes.
+
+    ``head`` has the upper halves of the prefix's hashes that aren't frequent, ``whole`` whether those are all of the set.
+    """
+    bounded_arrow(docs.sparkSession)
+    frequent = frequent_shingles(docs, width)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                found = shingle_set(text or b"", width)
+                n = len(found)
+                late, most = np.isin(found, frequent, assume_unique=True), n - -(-num * n // den) + 1
+                early = found[~late]
+                first, head = np.concatenate([early, found[late]])[:most], early[:most]
+                rows.append((xxhash.xxh128_digest(found.tobytes()), n, first.view(np.int64), (head >> np.uint64(32)).astype("<u4").tobytes(), len(head) == len(early)))
+            kinds = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.bool_()]
+            arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "digest", "n", "prefix", "head", "whole"])
+
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, digest binary, n int, prefix array<bigint>, head binary, whole boolean")
+
+
+def _shared(x, y) -> int:
+    import numpy as np
+
+    both = np.sort(np.concatenate([x, y]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs(u, v)`` without those whose heads show that their similarity is below ``num / den``.
+
+    Up to the place where the first of two heads ends, both are complete; behind it at most the smaller rest is shared.
+    Halves of hashes can only make more of them seem shared, so no similar pair goes.
+    """
+    kind = pairs.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3))):
+                heads = [np.frombuffer(z["head"], "<u4") for z in (x, y)]
+                end = min((h[-1] for h, z in zip(heads, (x, y)) if len(h) and not z["whole"]), default=np.uint32(0xFFFFFFFF))
+                a, b = (h[: np.searchsorted(h, end, side="right")] for h in heads)
+                most = _shared(a, b) + min(x["n"] - len(a), y["n"] - len(b))
+                # of values equal to the end, a set may have more behind its head
+                most += sum(int(np.searchsorted(h, end, side="right") - np.searchsorted(h, end, side="left")) for h in heads)
+                keep.append(den * most >= num * (x["n"] + y["n"] - most))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    a, b = (nodes.select(F.col("doc_id").alias(c), F.struct("n", "head", "whole").alias(f"{c}_set")) for c in "uv")
+    joined = pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set")
+    return joined.mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose texts have shingle sets with a similarity of ``num / den`` or more."""
+    kind = pairs.schema["u"].dataType.simpleString()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t or b"", width).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "members"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                shared = _shared(x, y)
+                keep.append(den * shared >= num * (len(x) + len(y) - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    # ids of near copies alone: a small side, so that no text is shuffled
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    some = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text")
+    found = stored(some.mapInArrow(sets, f"doc_id {kind}, members binary"), "shingle-sets")
+    a, b = (found.select(F.col("doc_id").alias(c), F.col("members").alias(f"{c}_members")) for c in "uv")
+    joined = pairs.join(a, "u").join(b, "v").select("u", "v", "u_members", "v_members")
+    return joined.mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def unlinked_pairs(kind: str, num: int, den: int):
+    """Of each shingle's list ``(rep, root, n, pos)``: the pairs of different roots that can still be similar by their
+    sizes and the shingle's places. The first of the list has been met by all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        us, vs, n_pairs = [], [], 0
+
+        def out():
+            arrays = [pa.concat_arrays(x) for x in (us, vs)]
+            return pa.RecordBatch.from_arrays(arrays, names=["u", "v"])
+
+        for batch in batches:
+            for one in batch.column(0):
+                rows = one.values
+                rep = rows.field("rep")
+                _, root = np.unique(np.array(rows.field("root").to_pylist()), return_inverse=True)
+                n, pos = np.asarray(rows.field("n")).astype(np.int64), np.asarray(rows.field("pos")).astype(np.int64)
+                sizes = np.bincount(root)
+                # the largest root comes last, so that its own rows are compared with nothing; the first row stays out
+                order = 1 + np.lexsort((root[1:], sizes[root[1:]]))
+                turn = root[order]
+                ends = np.append(np.flatnonzero(turn[1:] != turn[:-1]) + 1, len(turn))
+                stop = ends[np.searchsorted(ends, np.arange(len(turn)), side="right")] if len(turn) else ends
+                for k in range(len(turn)):
+                    i, j = order[k], order[stop[k] :]
+                    if not len(j):
+                        break
+                    most = np.minimum(n[i] - pos[i], n[j] - pos[j])  # the shingle itself and those behind it
+                    j = j[den * most >= num * (n[i] + n[j] - most)]
+                    if len(j):
+                        a, b = np.minimum(i, j), np.maximum(i, j)  # the list is in the order of ids
+                        us.append(rep.take(pa.array(a))), vs.append(rep.take(pa.array(b)))
+                        n_pairs += len(j)
+                    if n_pairs >= BATCH:
+                        yield out()
+                        us, vs, n_pairs = [], [], 0
+        if n_pairs:
+            yield out()
+
+    return run
+
+
+def near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``(doc_id)`` of all rows but the smallest id of each group; ids are unique and not null.
+
+    Groups are the components of all pairs whose sets of ``width``-word shingles have a Jaccard similarity of
+    ``num / den`` or more. Equal sets are one node. Any such pair meets at a shingle of both prefixes. Each list of a
+    shingle is first compared with its smallest id, then the members that these links have not joined with each other.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = stored(shingled(docs, width, num, den), "shingles")
+    least = found.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    copies = stored(found.select("doc_id", "digest").join(least, "digest").where(F.col("doc_id") != F.col("least")).select("doc_id"), "exact-copies")
+    nodes = found.join(copies, "doc_id", "left_anti")
+    places = nodes.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "s"))
+    lists = places.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("rep", "n", "pos"))).alias("rows")).where(F.size("rows") > 1)
+    lists = stored(lists, "shingle-lists")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        left = stored(possible(pairs, nodes, num, den), "possible-pairs")
+        return stored(similar(left, docs, width, num, den), "near-links")
+
+    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("c.n") - F.col("c.pos"))  # the shingle itself and those behind it
+    met = lists.select(F.col("rows")[0].alias("c"), F.explode(F.slice("rows", 2, 1 << 30)).alias("x")).where(den * most >= num * (F.col("x.n") + F.col("c.n") - most))
+    links = linked(met.select(F.col("c.rep").alias("u"), F.col("x.rep").alias("v")).distinct())
+    roots = stored(components(links), "near-roots")
+    flat = lists.select("s", F.inline("rows")).join(roots, F.col("rep") == F.col("node"), "left").select("s", F.struct("rep", F.coalesce("root", "rep").alias("root"), "n", "pos").alias("row"))
+    open_lists = flat.groupBy("s").agg(F.array_sort(F.collect_list("row")).alias("rows")).where((F.size("rows") > 2) & (F.size(F.array_distinct("rows.root")) > 1))
+    more = linked(open_lists.select("rows").mapInArrow(unlinked_pairs(kind, num, den), f"u {kind}, v {kind}").distinct())
+    roots = stored(components(links.unionByName(more)), "near-roots")
+    return copies.unionByName(roots.select(F.col("node").alias("doc_id")))
+
+
+def keep_one_similar(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs`` but those whose id isn't the smallest of their near copies.
+
+    Of rows that repeat an id, one stays; rows without an id stay, as nothing can name them.
+    """
+    named = docs.where("doc_id is not null")
+    ids = named.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if ids["n"] != ids["d"]:
+        named = stored(named.dropDuplicates(["doc_id"]), "unique-ids")
+    gone = stored(near_copies(named, width, num, den), "near-copies")
+    kept = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))

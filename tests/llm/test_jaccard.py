@@ -1,0 +1,71 @@
+import random
+
+import corpus_pipeline
+from narrative_spark.llm import jaccard
+
+from .conftest import prose
+
+
+def brute(rows, width=5):
+    """Ids that stay: the smallest of each component of pairs with a Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for d, text in rows:
+        w = (text or "").lower().split()
+        k = min(width, len(w))
+        sets[d] = {" ".join(w[a : a + k]) for a in range(len(w) - k + 1)} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both, shared = len(sets[a] | sets[b]), len(sets[a] & sets[b])
+            if a < b and (5 * shared >= 4 * both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d for d in sets if find(d) == d}
+
+
+def edited(r, text, n):
+    words = text.split()
+    for at in r.sample(range(len(words)), n):
+        words[at] = "changed"
+    return " ".join(words)
+
+
+def planted(r):
+    """Texts with near copies at, above and below the limit, chains of copies, exact copies and a common passage."""
+    common, texts = prose(999, 20), ["", None, " \n", "one", "One", "two words"]
+    for k in range(20):
+        base = prose(k, 150)
+        texts += [base + " " + common] * (1 + k % 2)
+        texts += [edited(r, base + " " + common, r.randint(1, 6)) for _ in range(5)]
+        chain = base
+        for _ in range(4):
+            chain = edited(r, chain, 2)
+            texts.append(chain)
+    rows = list(enumerate(r.sample(texts, len(texts))))
+    return rows
+
+
+def test_keep_one_similar_against_brute_force(documents, monkeypatch):
+    r = random.Random(8)
+    rows = planted(r)
+    want = brute(rows)
+    assert 26 < len(want) < len(rows)
+    assert {x.doc_id for x in jaccard.keep_one_similar(documents(rows)).collect()} == want
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)  # with frequent shingles too
+    assert {x.doc_id for x in jaccard.keep_one_similar(documents(rows)).collect()} == want
+    assert jaccard.keep_one_similar(documents([])).count() == 0
+    repeated = [(1, "a b c"), (1, "a b c"), (2, "x y"), (None, "a b c"), (None, "a b c")]
+    assert sorted(str(x.doc_id) for x in jaccard.keep_one_similar(documents(repeated)).collect()) == ["1", "2", "None", "None"]
+
+
+def test_stage_drops_edited_copies(spark, documents):
+    r = random.Random(5)
+    rows = [(k, prose(k, 200)) for k in range(10)]
+    rows += [(100 + k, edited(r, rows[k][1], 3)) for k in range(10)]  # at most 15 of 196 shingles
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()} == set(range(10))
