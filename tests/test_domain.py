@@ -43,6 +43,17 @@ def test_forbidden_beats_forced(spark):
     assert aliases.evidence(aliases.marker_matches(texts, known), forbidden).count() == 0
 
 
+def test_passed_over_matches_do_not_count(spark):
+    texts = spark.createDataFrame(
+        [("b", "林晚的父親名叫林正。" + "林晚即是林正。" * 201 + "趙白即是趙如子。" + "趙白就是趙如子。" * 201 + "秦湛就是周燎。"), ("c", "趙白即是趙如子。" * 199 + "秦湛就是周燎。陈羡就是周燎。")], "book_id string, text string"
+    )
+    known = spark.createDataFrame([(b, k, n) for b in "bc" for k, n in enumerate(["林晚", "林正", "趙白", "趙如子", "秦湛", "周燎", "陈羡"])], "book_id string, pos int, name string")
+    forbidden = aliases.forbidden_pairs(aliases.family_relations(texts), known)
+    got = aliases.evidence(aliases.marker_matches(texts, known), forbidden).collect()
+    # forbidden pairs and hints that are forced leave the cap alone; both tiers share it
+    assert {(r.book_id, frozenset((r.a, r.b)), r.tier) for r in got} == {(b, frozenset(p), t) for b in "bc" for p, t in ((("趙白", "趙如子"), "forced"), (("秦湛", "周燎"), "hint"))}
+
+
 def test_groups(spark):
     edges = spark.createDataFrame([("b", f"n{k:02}", f"n{k + 1:02}") for k in range(20)] + [("b", "長長的名字", "n00"), ("c", "x", "y")], "book_id string, a string, b string")
     roots = {r.name: r.root for r in aliases.components(edges).collect()}
