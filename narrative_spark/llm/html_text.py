@@ -17,8 +17,8 @@ from .runtime import bounded_arrow
 
 # Fixed values of HTML: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math head title textarea select button object audio video canvas".split())
-TEXT_ONLY = frozenset("script style title textarea iframe noscript".split())
+RAW = frozenset("script style noscript noframes template iframe svg math title textarea select button object audio video canvas".split())
+TEXT_ONLY = frozenset("script style title textarea iframe noscript noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -29,6 +29,7 @@ STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+HEAD_END = re.compile(r"</head\b|<body\b", re.I)
 SPACE = re.compile(r"\s+")
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -55,10 +56,23 @@ class Node:
 
 
 def build_tree(page: str) -> Node:
-    """Block elements and, as leaves, blocks of text. Scripts, styles, comments, controls and the head have no text."""
+    """Block elements and, as leaves, blocks of text. Scripts, styles, titles, comments and controls have no text.
+
+    The tags of the head are passed over: it ends, as in HTML, at the first thing that can't stand in it, and what can
+    has no text.
+    """
     root = Node("#root", None)
     stack, inline, run, linked, depth_a = [root], 0, [], 0, 0
     at, skip, skip_depth = 0, None, 0
+    places: dict[str, list[int]] = {}  # of the open elements of a name, where they are on the stack
+
+    def last(name: str) -> int:
+        return places[name][-1] if places.get(name) else 0
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            places[node.tag].pop()
+        del stack[k:]
 
     def flush() -> None:
         nonlocal run, linked, inline
@@ -91,8 +105,6 @@ def build_tree(page: str) -> Node:
                 skip_depth += -1 if closing else (0 if m[3].endswith("/") else 1)
                 if skip_depth == 0:
                     skip = None
-            elif skip == "head" and name == "body":
-                skip = None
             if skip is not None:
                 continue
             if closing:
@@ -102,12 +114,16 @@ def build_tree(page: str) -> Node:
                 continue
             if name in TEXT_ONLY:  # markup in it is text: on to its end tag
                 close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else size
+                late = None if close else HEAD_END.search(page, at)
+                at = close.end() if close else late.start() if late else size
                 run.append(" ")
                 continue
             skip, skip_depth = name, 1
             run.append(" ")
             continue
+        if name == "head":
+            run.append(" ")
+            continue
         if name in INLINE:
             inline += not closing
             if name == "a":
@@ -122,29 +138,24 @@ def build_tree(page: str) -> Node:
         flush()
         depth_a = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
+            if k := last(name):
+                cut(k)
             continue
         if stack[-1].tag == "p" or stack[-1].tag in HEADINGS and name in HEADINGS:
-            stack.pop()
+            cut(len(stack) - 1)
         if name in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in STOPS[name]:
-                    break
-                if stack[k].tag in CLOSES[name]:
-                    del stack[k:]
-                    break
+            k = max(map(last, CLOSES[name]))
+            if k > max(map(last, STOPS[name])):
+                cut(k)
         aside = article = 0
         if m[3] and "=" in m[3]:
             for key, *values in ATTRIBUTE.findall(m[3]):
                 tokens = {t.lower() for v in values if v for t in SPLIT.split(v.replace("_", "-")) if t}
                 aside += len(tokens & ASIDE_TOKENS)
                 article += len(tokens & ARTICLE_TOKENS)
-        if len(stack) < 200:  # a deeper page keeps its text, in the 200th element
-            stack.append(Node(name, stack[-1], aside, article))
-            stack[-1].mark = 'k="1"' in m[3]
+        places.setdefault(name, []).append(len(stack))
+        stack.append(Node(name, stack[-1], aside, article))
+        stack[-1].mark = 'k="1"' in m[3]
     flush()
     return root
 

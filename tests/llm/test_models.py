@@ -196,6 +196,25 @@ def test_tree_and_blocks():
     assert html_text.nodes_of(html_text.build_tree("<div>" * 5000 + "deep"))[-1].text == "deep"
 
 
+def test_deep_nesting_closes_what_it_opened():
+    page = "<div><article><p>first</p>" + "<div>" * 300 + "deep" + "</div>" * 300 + "<p>second</p></article></div><p>after</p>"
+    leaves = {n.text: n for n in html_text.nodes_of(html_text.build_tree(page)) if n.tag == "#text"}
+    up = lambda n: [] if n.parent is None else [n.parent.tag, *up(n.parent)]
+    assert up(leaves["first"]) == up(leaves["second"]) == ["p", "article", "div", "#root"] and up(leaves["after"]) == ["p", "#root"]
+    assert up(leaves["deep"])[:-1] == ["div"] * 300 + ["article", "div"]
+    many = html_text.nodes_of(html_text.build_tree("<article>" + "<div>" * 50000 + "deep" + "</b></div></x>" * 50000 + "<p>end"))
+    assert [n.text for n in many if n.tag == "#text"] == ["deep", "end"] and many[-1].parent.parent.tag == "article"
+
+
+def test_head_without_end_tag():
+    texts = lambda page: [n.text for n in html_text.nodes_of(html_text.build_tree(page)) if n.tag == "#text"]
+    inner = "<meta charset=utf-8><title>no <p></title><script>var p='<p>no</p>';</script><style>p{}</style><link rel=x>"
+    assert texts(f"<html><head>{inner}<p>one<p>two") == ["one", "two"]
+    assert texts(f"<head>{inner}text first<div>two</div>") == ["text first", "two"]
+    for page in (f"<head>{inner}</head><body><p>one", f"<head>{inner}<body><p>one", "<head><title>no</head><body><p>one", "<head><title>no<body><p>one"):
+        assert texts(page) == ["one"]
+
+
 def test_extract_pages(spark, page_model):
     body = "<nav class=menu><ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li></ul></nav>"
     article = "".join(f"<p>{prose(k, 50)}.</p>" for k in range(4))
