@@ -31,7 +31,8 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HEAD_END = re.compile(r"</head\b|<body\b", re.I)
 SPACE = re.compile(r"\s+")
-SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+#: Attribute values are cut into words at other characters and where the case rises.
+SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 # Attribute tokens that pages use for parts other than the article, and for the article.
 ASIDE_TOKENS = frozenset(
@@ -150,7 +151,7 @@ def build_tree(page: str) -> Node:
         aside = article = 0
         if m[3] and "=" in m[3]:
             for key, *values in ATTRIBUTE.findall(m[3]):
-                tokens = {t.lower() for v in values if v for t in SPLIT.split(v.replace("_", "-")) if t}
+                tokens = {t.lower() for v in values if v for t in SPLIT.split(v) if t}
                 aside += len(tokens & ASIDE_TOKENS)
                 article += len(tokens & ARTICLE_TOKENS)
         places.setdefault(name, []).append(len(stack))
@@ -397,8 +398,8 @@ def structural_labels(order: list[Node]) -> list[int] | None:
 def fit(pages: DataFrame | None = None, made: int = 600, sample: int = 150, most_bytes: int = 40_000, seed: int = 7) -> PageModel:
     """A model of ``made`` generated pages and of ``sample`` pages of the table whose own structure labels them.
 
-    The sample has the pages with the least hash of their id among those of at most ``most_bytes``; the three
-    parameters bound it at any size of the table.
+    The sample has the pages with the least hash of id and markup among those of at most ``most_bytes``; the three
+    parameters bound it at any size of the table. Which pages it has doesn't depend on how the table is cut.
     """
     import numpy as np
 
@@ -409,9 +410,10 @@ def fit(pages: DataFrame | None = None, made: int = 600, sample: int = 150, most
         rows.extend(node_features(order))
         labels.extend(own)
     if pages is not None and sample:
-        fits = pages.where(F.octet_length("html") <= most_bytes).select("page_id", "html")
-        keys = [x.page_id for x in fits.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
-        for page in fits.where(F.col("page_id").isin(keys)).limit(2 * sample).collect() if keys else []:
+        n = pages.count()  # of the files' footers; with it one scan finds the sample
+        place = F.xxhash64("page_id", "html")
+        some = pages.where((F.octet_length("html") <= most_bytes) & (F.pmod(place, F.lit(max(1, n))) < 2 * sample)).select("html", place.alias("place"))
+        for page in some.orderBy("place", "html").limit(sample).collect():
             order = nodes_of(build_tree(page.html))
             own = structural_labels(order)
             if own:
