@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bounded_arrow, shared_dir
+from .runtime import bounded_arrow, shared_dir, until_exit
 
 # Fixed values of the format (RFC 8794, RFC 9559): element ids.
 EBML, DOC_TYPE, VOID = 0x1A45DFA3, 0x4282, 0xEC
 SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
-TIMESTAMP_SCALE, DURATION = 0x2AD7B1, 0x4489
+TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION, AUDIO = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383, 0xE1
 SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xB5, 0x9F, 0x6264
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
@@ -28,6 +28,8 @@ LACINGS = ("none", "xiph", "fixed", "ebml")
 #: How this module lays payloads out: samples a second, samples a frame, frames a block and blocks a cluster.
 RATE, FRAME, LACE, BLOCKS = 8000, 256, 8, 16
 FRAME_NS = FRAME * 1_000_000_000 // RATE
+#: The name that files carry as that of their writer.
+APP = b"narrative_spark"
 
 
 def size_bytes(n: int, width: int = 0) -> bytes:
@@ -87,7 +89,8 @@ def pad(data: bytes) -> bytes:
 def mux(payload: bytes) -> bytes:
     """A Matroska file with one track of 8-bit PCM samples, which are the payload's bytes."""
     scale = 1_000_000
-    info = element(INFO, uint(TIMESTAMP_SCALE, scale) + element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE)))
+    length = element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE))
+    info = element(INFO, uint(TIMESTAMP_SCALE, scale) + length + element(MUXING_APP, APP) + element(WRITING_APP, APP))
     clusters, cues, position = [], [], len(info) + len(_TRACKS)
     step = FRAME * LACE * BLOCKS
     for at in range(0, len(payload), step):
@@ -121,7 +124,7 @@ class _Damage(ValueError):
 def _vint(data: bytes, at: int, end: int, marker: bool) -> tuple[int, int, bool]:
     """``(value, next, unknown)``; ids keep the length marker."""
     if at >= end or not data[at]:
-        raise _Damage("no variable-length integer")
+        raise _Damage("no variable-length integer of at most eight bytes")
     width = 9 - data[at].bit_length()
     if at + width > end:
         raise _Damage("cut in an integer")
@@ -171,91 +174,131 @@ def _frames(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return found
 
 
-def parse(data: bytes) -> Media:
-    """All tracks, packets and cues. What stands before a damaged place is kept, and ``damaged`` is set."""
-    media, cluster = Media(), [0]
-    track: dict = {}
-    cue: dict = {}
-    segment = [0]
+#: What a number of a track or of a cue is called.
+TRACK_FIELDS = {TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "frame_ns", CHANNELS: "channels", BIT_DEPTH: "bits"}
+CUE_FIELDS = {CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER_POSITION: "position"}
+LONG = 1 << 63
+
+
+class _Parser:
+    """Elements of one file, met one after another; open masters are on a stack of its own, so no depth overflows."""
 
-    def number(a: int, b: int) -> int:
-        return int.from_bytes(data[a:b], "big")
+    def __init__(self, data: bytes):
+        self.data, self.media = data, Media()
+        self.track: dict = {}
+        self.cue: dict = {}
+        self.segment = self.base = 0
 
-    def real(a: int, b: int) -> float:
-        return struct.unpack({4: ">f", 8: ">d"}.get(b - a, f">{b - a}x"), data[a:b])[0] if b - a in (4, 8) else 0.0
+    def number(self, a: int, b: int) -> int:
+        """An unsigned integer of at most eight bytes that fits a signed long."""
+        if b - a > 8 or (value := int.from_bytes(self.data[a:b], "big")) >= LONG:
+            raise _Damage("an integer is too long")
+        return value
 
-    def block(a: int, b: int, simple: bool) -> None:
-        n, at, _ = _vint(data, a, b, False)
+    def real(self, a: int, b: int) -> float:
+        if b - a not in (0, 4, 8):
+            raise _Damage("a real number has four or eight bytes")
+        return struct.unpack(">f" if b - a == 4 else ">d", self.data[a:b])[0] if b > a else 0.0
+
+    def block(self, a: int, b: int, simple: bool) -> None:
+        media = self.media
+        n, at, _ = _vint(self.data, a, b, False)
         if at + 3 > b:
             raise _Damage("cut in a block")
-        relative, flags = struct.unpack(">hB", data[at : at + 3])
+        relative, flags = struct.unpack(">hB", self.data[at : at + 3])
         kind = (flags >> 1) & 3
-        start = (cluster[0] + relative) * media.scale
-        step = media.tracks.get(n, {}).get("frame_ns", 0)
-        for k, (offset, size) in enumerate(_frames(data, at + 3, b, kind)):
+        frames = _frames(self.data, at + 3, b, kind)
+        start, step = (self.base + relative) * media.scale, media.tracks.get(n, {}).get("frame_ns", 0)
+        if not -LONG <= start <= start + step * len(frames) < LONG:
+            raise _Damage("a time is beyond a long")
+        for k, (offset, size) in enumerate(frames):
             media.packets.append((n, start + k * step, offset, size, len(media.clusters) - 1, LACINGS[kind], bool(flags & 0x80) if simple else True))
 
-    def walk(at: int, end: int, parent: int) -> int:
-        while at < end:
+    def opened(self, name: int, start: int, at: int) -> None:
+        if name == SEGMENT:
+            self.segment = at
+        elif name == CLUSTER:
+            self.media.clusters.append(start - self.segment)
+            self.base = 0
+        elif name == TRACK_ENTRY:
+            self.track = {}
+        elif name == CUE_POINT:
+            self.cue = {}
+
+    def closed(self, name: int) -> None:
+        if name == TRACK_ENTRY and "number" in self.track:
+            self.media.tracks[self.track["number"]] = self.track
+        elif name == CUE_TRACK_POSITIONS:
+            self.media.cues.append((self.cue.get("time", 0), self.cue.get("track", 0), self.cue.get("position", 0)))
+
+    def leaf(self, name: int, a: int, b: int) -> None:
+        if name == DOC_TYPE:
+            self.media.doc_type = self.data[a:b].decode("ascii", "replace")
+        elif name == TIMESTAMP_SCALE:
+            self.media.scale = self.number(a, b)
+        elif name == DURATION:
+            self.media.duration = self.real(a, b)
+        elif name in TRACK_FIELDS:
+            self.track[TRACK_FIELDS[name]] = self.number(a, b)
+        elif name == CODEC_ID:
+            self.track["codec"] = self.data[a:b].decode("ascii", "replace")
+        elif name == SAMPLING_FREQUENCY:
+            self.track["rate"] = self.real(a, b)
+        elif name == CLUSTER_TIMESTAMP:
+            self.base = self.number(a, b)
+        elif name in (SIMPLE_BLOCK, BLOCK):
+            self.block(a, b, name == SIMPLE_BLOCK)
+        elif name in CUE_FIELDS:
+            self.cue[CUE_FIELDS[name]] = self.number(a, b)
+
+    def run(self) -> None:
+        data, at = self.data, 0
+        stack = [(0, len(data), False)]  # open masters: name, end, whether the file ends inside
+        while True:
+            name, end, cut = stack[-1]
+            if at >= end:
+                if len(stack) == 1:
+                    return
+                stack.pop()
+                self.closed(name)
+                if cut:
+                    raise _Damage("cut in a master element")
+                continue
             start = at
-            name, at, _ = _vint(data, at, end, True)
+            child, at, _ = _vint(data, at, end, True)
             size, at, unknown = _vint(data, at, end, False)
-            if parent == CLUSTER and name in (CLUSTER, CUES, TRACKS, INFO):
-                return start  # the end of a cluster of unknown size
-            stop = end if unknown else at + size
-            cut = stop > end
-            stop = min(stop, end)
-            if name in MASTERS:
-                if name == SEGMENT:
-                    segment[0] = at
-                elif name == CLUSTER:
-                    media.clusters.append(start - segment[0])
-                    cluster[0] = 0
-                elif name == TRACK_ENTRY:
-                    track.clear()
-                elif name == CUE_POINT:
-                    cue.clear()
-                stop = walk(at, stop, name)
-                if name == TRACK_ENTRY and "number" in track:
-                    media.tracks[track["number"]] = dict(track)
-                elif name == CUE_TRACK_POSITIONS:
-                    media.cues.append((cue.get("time", 0), cue.get("track", 0), cue.get("position", 0)))
-            elif cut:
+            if name == CLUSTER and child in (CLUSTER, CUES, TRACKS, INFO):
+                stack.pop()  # the end of a cluster of unknown size
+                self.closed(name)
+                at = start
+                continue
+            stop, short = (end, False) if unknown else (min(at + size, end), at + size > end)
+            if child in MASTERS:
+                self.opened(child, start, at)
+                stack.append((child, stop, short))
+            elif short:
                 raise _Damage("cut in an element")
-            elif name == DOC_TYPE:
-                media.doc_type = data[at:stop].decode("ascii", "replace")
-            elif name == TIMESTAMP_SCALE:
-                media.scale = number(at, stop)
-            elif name == DURATION:
-                media.duration = real(at, stop)
-            elif name in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION, CHANNELS, BIT_DEPTH):
-                track[{TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "frame_ns", CHANNELS: "channels", BIT_DEPTH: "bits"}[name]] = number(at, stop)
-            elif name == CODEC_ID:
-                track["codec"] = data[at:stop].decode("ascii", "replace")
-            elif name == SAMPLING_FREQUENCY:
-                track["rate"] = real(at, stop)
-            elif name == CLUSTER_TIMESTAMP:
-                cluster[0] = number(at, stop)
-            elif name in (SIMPLE_BLOCK, BLOCK):
-                block(at, stop, name == SIMPLE_BLOCK)
-            elif name in (CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION):
-                cue[{CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER_POSITION: "position"}[name]] = number(at, stop)
-            at = stop
-            if cut:
-                raise _Damage("cut in a master element")
-        return at
+            else:
+                self.leaf(child, at, stop)
+                at = stop
+
 
+def parse(data: bytes) -> Media:
+    """All tracks, packets and cues. What stands before a damaged place is kept, and ``damaged`` is set."""
+    parser = _Parser(data)
     try:
-        walk(0, len(data), 0)
+        parser.run()
     except _Damage:
-        media.damaged = True
-    return media
+        parser.media.damaged = True
+    return parser.media
 
 
 def feature(media: Media) -> str:
     """Counts and times of a file as one line."""
-    used = [k for k in LACINGS if any(p[5] == k for p in media.packets)]
-    known = sum(1 for _, _, at in media.cues if at in set(media.clusters))
+    seen = {p[5] for p in media.packets}
+    used = [k for k in LACINGS if k in seen]
+    places = set(media.clusters)
+    known = sum(at in places for _, _, at in media.cues)
     last = max((p[1] for p in media.packets), default=0)
     codec = ",".join(str(media.tracks[k].get("codec", "")) for k in sorted(media.tracks))
     return f"codec={codec};packets={len(media.packets)};clusters={len(media.clusters)};cues={known};lacing={'+'.join(used)};last_ns={last};duration_ms={media.duration:g}"
@@ -330,10 +373,13 @@ def media_digest(media: DataFrame) -> DataFrame:
 def media_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Store the media column of ``docs`` as Parquet, read it back and digest it: one row per input row.
 
-    Null texts are empty; repeated rows are stored each; extra columns are ignored; an empty table gives no rows.
+    Null texts are empty; repeated rows are stored each; extra columns are ignored; an empty table gives no rows. Files
+    without a ``path`` of the caller are deleted when Spark ends.
     """
     spark = docs.sparkSession
-    path = path or shared_dir(spark, "media")
+    own = path or shared_dir(spark, "media")
     made = encode_media(docs)
-    made.write.option("compression", "zstd").parquet(path)
-    return media_digest(spark.read.schema(made.schema).parquet(path))
+    made.write.option("compression", "zstd").parquet(own)
+    if path is None:
+        until_exit(spark, own)
+    return media_digest(spark.read.schema(made.schema).parquet(own))

@@ -17,38 +17,90 @@ ARROW_CONF = {
 
 
 def bounded_arrow(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and by bytes for plans that this session runs from now on."""
+    """Bound Arrow batches by rows and by bytes for plans that this session runs from now on.
+
+    Plans read these two settings when they run, after an operator has returned, so they stay set. A smaller bound that
+    the session has already is left alone.
+    """
     ship_package(spark)
     for key, value in ARROW_CONF.items():
-        spark.conf.set(key, value)
+        now = spark.conf.get(key, None)
+        if not (now and now.isdigit() and 0 < int(now) < int(value)):
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder of this machine is set.
+    Where that setting is absent, a temporary folder of this machine is set if all of Spark runs in this process, as in
+    tests; on a cluster it is an error, as executors would write to folders that the others don't see.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir isn't set; on a cluster it has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="narrative-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost no recomputation."""
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder that exists deleted when Spark ends."""
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+
+
+def stored(df: DataFrame, name: str, fmt: str = "parquet", path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost no recomputation.
+
+    The table is deleted when Spark ends, if nothing has deleted it before.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = path or shared_dir(spark, name)
     df.write.format(fmt).save(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
+class Scratch:
+    """The tables that one call of an operator writes on its way. They are deleted at the end of the block, also after
+    an error; only the result stays, as a table of its own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(self.spark, name)
+        self.paths.append(path)
+        return stored(df, name, path=path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`stored` made, once nothing reads it any more."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
