@@ -251,12 +251,13 @@ class ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1000, most_bytes: int = 12_000) -> ToxicityModel:
-    """A model from up to ``per_label`` toxic and as many other texts of at most ``most_bytes``; both bound the sample.
+    """A model from up to ``per_label`` toxic and as many other texts, short ones first and pieces of about ``most_bytes``
+    of longer ones; both bound the sample.
 
-    Only rows that aren't held out are learnt from. A document with several labels counts as toxic if one says so.
+    Only rows of ``docs`` that aren't held out are learnt from. A document with several labels counts as toxic if one says so.
     Without labels of both kinds, the model knows no toxic word and scores all texts low and alike.
     """
-    one = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    one = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label")).join(docs.select("doc_id"), "doc_id", "left_semi")
     return ToxicityModel().train(sample_texts(docs, one, per_label, most_bytes))
 
 
