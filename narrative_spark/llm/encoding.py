@@ -7,18 +7,32 @@ remembered ids. Every id comes from the library; texts in which the boundary rul
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
 #: Pre-tokenization patterns of the two kinds of vocabulary files (fixed values of the formats).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a file has to say of itself for its texts to be cut here; any other file's texts go to the library whole (fixed
+#: values of the formats).
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+SETTINGS = {
+    "word": {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}, {**_BYTE_LEVEL, "use_regex": False}],
+        },
+    },
+    "byte": {"normalizer": None, "pre_tokenizer": {**_BYTE_LEVEL, "use_regex": True}},
+}
 #: Below it no character changes under NFC, and lower-casing a letter doesn't depend on its neighbours.
 LATIN_END = "\u0130"
 #: Entries of a memo of words, and of the memos of byte-level pieces, which repeat less.
 MEMO_ENTRIES, BYTE_MEMO_ENTRIES = 300_000, 700_000
 MEMO_KEY = 96
-_LOADED: dict[tuple[str, str], "Encoder"] = {}
+_LOADED: dict[tuple[str, str], "Encoder | WholeTexts | PieceModel"] = {}
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -30,14 +44,71 @@ def tokenizer_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-def encoder(kind: str, name_or_path: str) -> "Encoder":
+def cut_here(kind: str, path: str) -> bool:
+    """Whether a vocabulary file has just the settings that the encoders of this module rely on."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and not any(map(str.isspace, t["content"])) for t in own.get("added_tokens") or [])
+    model = own.get("model") or {}
+    usual = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    return plain and usual and own.get("post_processor") is None and all(own.get(k) == v for k, v in SETTINGS[kind].items())
+
+
+def encoder(kind: str, name_or_path: str) -> "Encoder | WholeTexts | PieceModel":
     """The encoder of this Python process; ``kind`` is ``word`` or ``byte``."""
     key = (kind, name_or_path)
     if key not in _LOADED:
-        _LOADED[key] = {"word": WordEncoder, "byte": ByteEncoder}[kind](tokenizer_path(name_or_path))
+        path = tokenizer_path(name_or_path)
+        if path.endswith(".model"):
+            _LOADED[key] = PieceModel(path)
+        else:
+            _LOADED[key] = {"word": WordEncoder, "byte": ByteEncoder}[kind](path) if cut_here(kind, path) else WholeTexts(path)
     return _LOADED[key]
 
 
+def library(path: str):
+    """The ``tokenizers`` library's own object, without padding and truncation, in this thread only."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_padding()
+    found.no_truncation()
+    return found
+
+
+def _as_ids(ids) -> bytes:
+    import numpy as np
+
+    return np.asarray(ids, dtype="<u4").tobytes()
+
+
+class WholeTexts:
+    """For any vocabulary of the ``tokenizers`` library: each text goes through it whole."""
+
+    def __init__(self, path: str):
+        self.library = library(path)
+
+    def encode(self, texts) -> Iterator[bytes]:
+        for text in texts:
+            yield _as_ids(self.library.encode(text if isinstance(text, str) else text.decode("utf-8"), add_special_tokens=False).ids)
+
+
+class PieceModel:
+    """For ``sentencepiece`` files: each text goes through that library whole."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def encode(self, texts) -> Iterator[bytes]:
+        for text in texts:
+            yield _as_ids(self.library.encode(text if isinstance(text, str) else text.decode("utf-8"), add_bos=False, add_eos=False))
+
+
 def _byte_alphabet() -> dict[int, str]:
     """The byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for U+0100 and on."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -70,13 +141,9 @@ class Encoder:
     ENTRIES = MEMO_ENTRIES
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.library = library(path)
         self.model = self.library.model
         self.pattern = regex.compile(self.PATTERN)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -87,9 +154,7 @@ class Encoder:
         return text
 
     def _whole(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _as_ids(self.library.encode(text, add_special_tokens=False).ids)
 
     def _part(self, part: str) -> bytes:
         symbols = part if part.isascii() and part.isalnum() else "".join(self.letters[b] for b in part.encode("utf-8"))
@@ -114,6 +179,7 @@ class Encoder:
             return self.parts[self._normal(text[:-1])] + self.parts[text[-1]]
         return None
 
+
 class WordEncoder(Encoder):
     """For vocabularies that drop white space: pieces are the runs between ASCII white space.
 

@@ -1,4 +1,4 @@
-"""Token counts: lengths only, from Arrow batches balanced by bytes."""
+"""Token counts: lengths only, from batch encoding in Arrow functions, with batches balanced by bytes."""
 
 from __future__ import annotations
 
@@ -8,10 +8,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import by_bytes, encoder, safe_pieces
+from .encoding import MEMO_ENTRIES, MEMO_KEY, by_bytes, cut_here, encoder, library, safe_pieces, tokenizer_path
 from .runtime import bounded_arrow
 
 BATCH_BYTES = 4 << 20
+#: Pieces that one call of the library encodes.
+CALL = 4096
+_LOADED: dict[str, "PieceCounts | TextCounts"] = {}
+
+
+class PieceCounts:
+    """For vocabularies that drop white space: a text has the tokens of its pieces between ASCII white space.
+
+    The distinct pieces of a batch that aren't known yet go to the library's batch encoding; of what it returns, only
+    lengths are kept. The memo of lengths is bounded; once it is full, other pieces are encoded once a batch.
+    """
+
+    def __init__(self, path: str, most: int = MEMO_ENTRIES):
+        self.library, self.known, self.most = library(path), {}, most
+
+    def lengths(self, fresh: list[bytes]) -> dict[bytes, int]:
+        found = {}
+        for at in range(0, len(fresh), CALL):
+            part = fresh[at : at + CALL]
+            found.update(zip(part, map(len, self.library.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False))))
+        return found
+
+    def count(self, texts: list[bytes], batch_bytes: int) -> list[int]:
+        """Tokens of each text. Longer texts are split at white space, so that no batch holds much more than
+        ``batch_bytes``, and their parts' counts are added up."""
+        parts, owners = [], []
+        for k, text in enumerate(texts):
+            for part in (text,) if len(text) <= batch_bytes else safe_pieces(text, batch_bytes):
+                parts.append(part)
+                owners.append(k)
+        counts = [0] * len(texts)
+        for start, end in by_bytes(list(map(len, parts)), batch_bytes):
+            split = [p.split() for p in parts[start:end]]
+            met = set().union(*split)
+            found = self.lengths([p for p in met if p not in self.known])
+            room = self.most - len(self.known)
+            if len(found) <= room:
+                self.known.update((p, n) for p, n in found.items() if len(p) <= MEMO_KEY)
+                table = self.known if all(len(p) <= MEMO_KEY for p in found) else {**self.known, **found}
+            else:
+                table = {p: self.known[p] for p in met if p in self.known} | found
+            for k, pieces in zip(owners[start:end], split):
+                counts[k] += sum(map(table.__getitem__, pieces))
+        return counts
+
+
+class TextCounts:
+    """For all other vocabularies, whose texts can't be cut: each goes through its library whole."""
+
+    def __init__(self, name: str):
+        self.encoder = encoder("word", name)
+
+    def count(self, texts: list[bytes], batch_bytes: int) -> list[int]:
+        return [len(ids) // 4 for ids in self.encoder.encode(texts)]
+
+
+def counter(name: str) -> "PieceCounts | TextCounts":
+    """The counter of this Python process."""
+    if name not in _LOADED:
+        path = tokenizer_path(name)
+        _LOADED[name] = PieceCounts(path) if cut_here("word", path) else TextCounts(name)
+    return _LOADED[name]
 
 
 def count_tokens(
@@ -25,28 +87,24 @@ def count_tokens(
     """Rows ``(doc_id, n_bytes, n_tokens, over_limit)``, one per input row, without special tokens of the caller.
 
     The function returns lengths only: ids never leave the worker. Batches hold about ``batch_bytes`` of text whatever
-    the number of rows, and a longer text is counted in pieces cut at ASCII white space, where the pre-tokenizer cuts
-    too, so that the sum is exact. Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each;
-    extra columns are dropped; an empty table gives an empty result.
+    the number of rows, and a longer text is counted in parts cut at ASCII white space, where the pre-tokenizer cuts
+    too, so that the sum is exact; that holds for files whose own settings say so, texts of others are counted whole.
+    Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; extra columns are dropped; an empty
+    table gives an empty result.
     """
     bounded_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder("word", tokenizer)
+        words = counter(tokenizer)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
-            sizes = list(map(len, texts))
-            counts: list[int] = []
-            for start, end in by_bytes(sizes, batch_bytes):
-                for text in texts[start:end]:
-                    pieces = (text,) if len(text) <= batch_bytes else safe_pieces(text, batch_bytes)
-                    counts.append(sum(map(len, words.encode(pieces))) // 4)
+            counts = words.count(texts, batch_bytes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
+                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    ids = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {ids}, n_bytes bigint, n_tokens bigint, over_limit boolean"
+        run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean"
     )
