@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import Scratch, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words once A-Z are lower-cased: all of ASCII but digits and a-z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Bits of the filter that keeps documents without candidates out of a join: a table of 131,072 rows at most.
-FILTER_BITS = 1 << 23
+#: A table of so many rows at most is broadcast. Beyond it, the words of a document meet it in one of ``SALTS`` copies,
+#: so that no frequent word is one task's.
+SMALL, SALTS = 500_000, 32
+#: Bits of the filter that keeps documents without candidates out of a join: eight for each candidate document, and a
+#: table of 2^20 rows at most. Where that is too few, the filter is left out.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 
 def split_words(text: Column) -> Column:
@@ -30,17 +34,29 @@ def item_terms(items: DataFrame) -> DataFrame:
     return words.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("ipos", "term"))
 
 
+def by_word(rows: DataFrame, table: DataFrame, word: str, n: int, how: str = "inner") -> DataFrame:
+    """Join ``rows``, which have a ``rid``, to a table of ``n`` rows with a column ``term``, on ``word`` and that term."""
+    if n <= SMALL:
+        return rows.join(F.broadcast(table), F.col(word) == F.col("term"), how)
+    copies = table.withColumn("salt_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt_r", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, (F.col(word) == F.col("term")) & (F.col("salt_r") == F.col("salt_t")), how).drop("salt_r", "salt_t")
+
+
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Postings ``(rid, doc_id, n_words, pos, term)`` of the vocabulary's terms, plus each row's first position.
 
-    The index is partitioned by document: postings are written where a text is read, without a shuffle. ``rid`` is the
-    row's own number, so that rows that repeat an id stay apart. A first position of another term has a null term.
+    The index is partitioned by document: postings are written where a text is read, without a shuffle of the text.
+    ``rid`` is the row's own number, so that rows that repeat an id stay apart. Only a first position has the document's
+    id and number of words; one of another term has a null term.
     """
     words = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", split_words(F.col("text")).alias("w"))
     n = F.size("w") - F.when(F.col("w")[0] == "", 1).otherwise(0) - F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
     each = words.select("rid", "doc_id", n.cast("bigint").alias("n_words"), F.posexplode("w").alias("pos", "word"))
     known = vocabulary.select("term").distinct()
-    return each.join(known, F.col("word") == F.col("term"), "left").where(F.col("term").isNotNull() | (F.col("pos") == 0)).select("rid", "doc_id", "n_words", "pos", "term")
+    found = by_word(each, known, "word", known.count(), "left").where(F.col("term").isNotNull() | (F.col("pos") == 0))
+    first = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
+    return found.select("rid", first("doc_id"), first("n_words"), "pos", "term")
 
 
 def plan_windows(terms: DataFrame, counts: DataFrame, width: int) -> DataFrame:
@@ -62,18 +78,22 @@ def plan_windows(terms: DataFrame, counts: DataFrame, width: int) -> DataFrame:
 
 
 def near_rows(postings: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Postings of rows that may have a candidate: a filter of ``FILTER_BITS`` bits, as a table of 64-bit words.
+    """Postings of rows that may have a candidate: a filter of hashed bits, as a table of 64-bit words.
 
-    The table has ``FILTER_BITS / 64`` rows at most, so it is small enough to broadcast at any size of the corpus; it
-    keeps most other postings out of the shuffle. Rows that it lets through by chance find no candidate in the join.
+    The filter has eight bits for each row with a candidate, counted before, so that it lets one in eight of the other
+    rows through; those find no candidate in the join. Where it would be too large to broadcast, nothing is filtered.
     """
-    place = F.xxhash64("rid").bitwiseAND(F.lit(FILTER_BITS - 1))
+    n = candidates.agg(F.approx_count_distinct("rid")).first()[0]
+    bits = max(LEAST_BITS, 1 << (8 * n).bit_length())
+    if bits > MOST_BITS:
+        return postings
+    place = F.xxhash64("rid").bitwiseAND(F.lit(bits - 1))
     word, bit = F.shiftrightunsigned(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
     words = candidates.select(word.alias("word"), F.expr("shiftleft(1L, cast(xxhash64(rid) & 63 as int))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits"))
     return postings.withColumn("word", word).join(F.broadcast(words), "word").where(F.getbit("bits", bit) == 1).select(*postings.columns)
 
 
-def phrase_matches(index: DataFrame, terms: DataFrame, windows: DataFrame) -> DataFrame:
+def phrase_matches(scratch: Scratch, index: DataFrame, terms: DataFrame, windows: DataFrame) -> DataFrame:
     """``(rid, item_id, start, len)`` of every occurrence of every window, from the postings alone.
 
     Lists are taken from the rarest term of a window: its positions less its offset are the possible starts. They are
@@ -81,18 +101,20 @@ def phrase_matches(index: DataFrame, terms: DataFrame, windows: DataFrame) -> Da
     that are left.
     """
     postings = index.where("term is not null").select("rid", "pos", "term")
-    first = postings.join(windows, F.col("term") == F.col("term_a")).select(
+    n = windows.count()
+    lists = postings.withColumnRenamed("term", "posted")
+    first = by_word(lists, windows.withColumn("term", F.col("term_a")), "posted", n).select(
         "rid", (F.col("pos") - F.col("a")).alias("delta"), "item", "item_id", "j", "len", "b", "term_b"
     )
-    second = postings.join(windows.select(F.col("term_b").alias("term")).distinct(), "term", "left_semi").select(
-        F.col("rid").alias("r2"), F.col("pos").alias("p2"), F.col("term").alias("t2")
+    second = by_word(lists, windows.select(F.col("term_b").alias("term")).distinct(), "posted", n).select(
+        F.col("rid").alias("r2"), F.col("pos").alias("p2"), F.col("posted").alias("t2")
     )
     both = (
         first.where("term_b is not null")
         .join(second, (F.col("rid") == F.col("r2")) & (F.col("delta") + F.col("b") == F.col("p2")) & (F.col("term_b") == F.col("t2")))
         .select("rid", "delta", "item", "item_id", "j", "len")
     )
-    candidates = stored(first.where("term_b is null").select(both.columns).unionByName(both), "candidates")
+    candidates = scratch.store(first.where("term_b is null").select(both.columns).unionByName(both), "candidates")
     in_docs = near_rows(postings, candidates)
     wanted = candidates.join(terms.select("item", "ipos", F.col("term").alias("want")), "item").where("ipos >= j and ipos < j + len")
     wanted = wanted.select("rid", (F.col("delta") + F.col("ipos")).alias("pos"), F.col("want").alias("term"), "item", "item_id", "j", "delta", "len")
@@ -107,30 +129,32 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     words and no hits; the digest of no items is that of the empty string. Without items nothing is hit. Ties between
     equally rare terms go to the earlier one; they don't change the result. Extra columns are ignored.
     """
-    terms = stored(item_terms(items.select("item_id", "text")), "item-terms")
-    index = stored(build_index(docs.select("doc_id", "text"), terms), "postings")
-    counts = index.where("term is not null").groupBy("term").agg(F.count("*").alias("count"))
-    windows = stored(plan_windows(terms, counts, width), "windows")
-    hits = stored(phrase_matches(index, terms, windows), "hits")
-    by_start = W.partitionBy("rid").orderBy("start")
-    spans = hits.groupBy("rid", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
-    covered = F.coalesce(F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
-    words = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", covered))).groupBy("rid").agg(F.sum("new").cast("bigint").alias("hit"))
-    names = hits.select("rid", F.col("item_id").cast("string").alias("i")).distinct().groupBy("rid").agg(F.sort_array(F.collect_list("i")).alias("ids"))
-    rows = index.where("pos = 0").select("rid", "doc_id", "n_words")
-    n_hit = F.coalesce("hit", F.lit(0))
-    return (
-        rows.join(words, "rid", "left")
-        .join(names, "rid", "left")
-        .select(
-            "doc_id",
-            "n_words",
-            n_hit.alias("n_hit"),
-            F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_items"),
-            F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
-            (n_hit > 0).alias("contaminated"),
+    with Scratch(docs.sparkSession) as scratch:
+        terms = scratch.store(item_terms(items.select("item_id", "text")), "item-terms")
+        index = scratch.store(build_index(docs.select("doc_id", "text"), terms), "postings")
+        counts = index.where("term is not null").groupBy("term").agg(F.count("*").alias("count"))
+        windows = scratch.store(plan_windows(terms, counts, width), "windows")
+        hits = scratch.store(phrase_matches(scratch, index, terms, windows), "hits")
+        by_start = W.partitionBy("rid").orderBy("start")
+        spans = hits.groupBy("rid", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
+        covered = F.coalesce(F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))
+        words = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", covered))).groupBy("rid").agg(F.sum("new").cast("bigint").alias("hit"))
+        names = hits.select("rid", F.col("item_id").cast("string").alias("i")).distinct().groupBy("rid").agg(F.sort_array(F.collect_list("i")).alias("ids"))
+        rows = index.where("pos = 0").select("rid", "doc_id", "n_words")
+        n_hit = F.coalesce("hit", F.lit(0))
+        found = (
+            rows.join(words, "rid", "left")
+            .join(names, "rid", "left")
+            .select(
+                "doc_id",
+                "n_words",
+                n_hit.alias("n_hit"),
+                F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_items"),
+                F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
+                (n_hit > 0).alias("contaminated"),
+            )
         )
-    )
+        return scratch.result(found, "contamination")
 
 
 def proximity_matches(index: DataFrame, left: str, right: str, within: int) -> DataFrame:
@@ -146,9 +170,16 @@ def proximity_matches(index: DataFrame, left: str, right: str, within: int) -> D
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, least_words: int = 1) -> DataFrame:
-    """The rows of ``docs`` without ``least_words`` hit words. Of a repeated id, all rows go if one is hit."""
-    hit = contamination(docs, items, width).where(F.col("n_hit") >= least_words).select("doc_id").distinct()
-    return docs.join(stored(hit, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without ``least_words`` hit words, with all their columns.
+
+    A row goes for its own text: it is named by its text's digest, so rows that share an id are judged apart, rows that
+    share a text alike, and rows without an id like others. Null, empty and wordless texts stay; without items all stay;
+    an empty table gives an empty result.
+    """
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    hit = contamination(docs.select(digest.alias("doc_id"), "text"), items, width).where(F.col("n_hit") >= least_words)
+    gone = stored(hit.select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
+    return docs.join(gone, digest == F.col("gone"), "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

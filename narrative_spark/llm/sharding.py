@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import Scratch
 
 FAN = 256
 #: Bins of the first look at the running sums: a bound on what the driver holds, whatever the number of groups.
@@ -131,54 +131,56 @@ def shard(docs: DataFrame, shards: int = 24, row_bytes: int = 8) -> DataFrame:
     are those within a partition plus the sums of the partitions before.
     """
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        (F.octet_length(text) + row_bytes).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
-    )
-    rows = stored(rows, "shard-rows")
-    groups = stored(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    giants, left, free = [], total, shards
-    # at most ``shards`` groups can reach a fair share: the heads of the list are enough
-    for g in groups.orderBy(F.desc("bytes"), "digest").limit(shards - 1).collect():
-        if g.bytes * free < left:
-            break
-        giants.append(g)
-        left, free = left - g.bytes, free - 1
-    own = F.lit(None).cast("int")
-    for k, g in enumerate(giants):
-        own = F.when(F.col("digest") == F.lit(bytearray(g.digest)), k).otherwise(own)
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-
-    ordered = stored(rows.withColumn("own", own).repartitionByRange(n, F.coalesce("own", F.lit(-1)), "digest", "doc_id").withColumn("part", F.spark_partition_id()), "shard-ordered")
-    share = F.when(F.col("own").isNull(), F.col("size")).otherwise(0)
-    sums = ordered.groupBy("part").agg(F.sum(share).alias("b"), F.count("*").alias("c"))
-    bases = sums.select("part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("byte_base"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("row_base"))
-    order = W.partitionBy("part").orderBy(F.coalesce("own", F.lit(-1)), "digest", "doc_id")
-    running = (
-        ordered.withColumn("bytes_in", F.sum(share).over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("row_in", F.row_number().over(order))
-        .join(bases, "part")
-        .select("doc_id", "size", "text_crc32", "digest", "own", (F.col("byte_base") + F.col("bytes_in")).alias("prefix"), (F.col("row_base") + F.col("row_in")).alias("row"))
-    )
-    running = stored(running, "shard-running")
-    ends = stored(running.where("own is null").groupBy("digest").agg(F.max("prefix").alias("end"), F.sum("size").alias("bytes")), "shard-ends")
-    if left:
-        largest = ends.agg(F.max("bytes")).first()[0]
-        cuts = minimax_cuts(RunningSums(ends.select("end"), left), free, largest)
-    else:
-        cuts = []
-    # a row is in the first shard whose end isn't below the row's own running sum
-    base = len(giants)
-    number = F.lit(base + max(0, len(cuts) - 1))
-    for k in range(len(cuts) - 2, -1, -1):
-        number = F.when(F.col("prefix") <= cuts[k], base + k).otherwise(number)
-    placed = running.withColumn("shard", F.coalesce("own", number).cast("int"))
-    firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))
-    return placed.join(F.broadcast(firsts), "shard").select(  # one row a shard
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    with Scratch(spark) as scratch:
+        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        text = F.coalesce("text", F.lit(""))
+        rows = docs.select(
+            "doc_id",
+            (F.octet_length(text) + row_bytes).cast("bigint").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+        )
+        rows = scratch.store(rows, "shard-rows")
+        groups = scratch.store(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
+        total = groups.agg(F.sum("bytes")).first()[0] or 0
+        giants, left, free = [], total, shards
+        # at most ``shards`` groups can reach a fair share: the heads of the list are enough
+        for g in groups.orderBy(F.desc("bytes"), "digest").limit(shards - 1).collect():
+            if g.bytes * free < left:
+                break
+            giants.append(g)
+            left, free = left - g.bytes, free - 1
+        own = F.lit(None).cast("int")
+        for k, g in enumerate(giants):
+            own = F.when(F.col("digest") == F.lit(bytearray(g.digest)), k).otherwise(own)
+        before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+
+        ordered = scratch.store(rows.withColumn("own", own).repartitionByRange(n, F.coalesce("own", F.lit(-1)), "digest", "doc_id").withColumn("part", F.spark_partition_id()), "shard-ordered")
+        share = F.when(F.col("own").isNull(), F.col("size")).otherwise(0)
+        sums = ordered.groupBy("part").agg(F.sum(share).alias("b"), F.count("*").alias("c"))
+        bases = sums.select("part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("byte_base"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("row_base"))
+        order = W.partitionBy("part").orderBy(F.coalesce("own", F.lit(-1)), "digest", "doc_id")
+        running = (
+            ordered.withColumn("bytes_in", F.sum(share).over(order.rowsBetween(W.unboundedPreceding, 0)))
+            .withColumn("row_in", F.row_number().over(order))
+            .join(bases, "part")
+            .select("doc_id", "size", "text_crc32", "digest", "own", (F.col("byte_base") + F.col("bytes_in")).alias("prefix"), (F.col("row_base") + F.col("row_in")).alias("row"))
+        )
+        running = scratch.store(running, "shard-running")
+        ends = scratch.store(running.where("own is null").groupBy("digest").agg(F.max("prefix").alias("end"), F.sum("size").alias("bytes")), "shard-ends")
+        if left:
+            largest = ends.agg(F.max("bytes")).first()[0]
+            cuts = minimax_cuts(RunningSums(ends.select("end"), left), free, largest)
+        else:
+            cuts = []
+        # a row is in the first shard whose end isn't below the row's own running sum
+        base = len(giants)
+        number = F.lit(base + max(0, len(cuts) - 1))
+        for k in range(len(cuts) - 2, -1, -1):
+            number = F.when(F.col("prefix") <= cuts[k], base + k).otherwise(number)
+        placed = running.withColumn("shard", F.coalesce("own", number).cast("int"))
+        firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))
+        found = placed.join(F.broadcast(firsts), "shard").select(  # one row a shard
+            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        )
+        return scratch.result(found, "shards")
