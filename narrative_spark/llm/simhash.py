@@ -9,40 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import bounded_arrow, stored
+from .runtime import Scratch, bounded_arrow, stored
+from .shingles import copies_key, majority_bits, shingle_hashes, shingled, similar_pairs
 
-SEED = 42
-#: Fingerprints that differ in at most ``BLOCKS - 1`` bits agree in one of ``BLOCKS`` blocks at least.
+#: Fingerprints of a page, of a leaf of its tree, children of a node above, and pairs of nodes looked at together.
 PAGE = 4096
 LEAF = 16
 FAN = 8
 FRONTIER = 1 << 14
+#: Rows of one fingerprint from which its rows are joined apart: more than one in so many of all, so these are few.
+HOT = 1000
 
 
 def document_fingerprint(data: bytes, width: int) -> int:
-    import numpy as np
-    import xxhash
-
-    words = data.lower().split()  # of bytes: A-Z only, and words are runs of other bytes than 20 and 09 to 0D
-    if not words:
-        return 0
-    text, digest = b" ".join(words), xxhash.xxh64_intdigest
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    last = ends[min(width, len(words)) - 1 :].tolist()
-    hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(starts, last)), dtype=np.uint64, count=len(last))
-    n, rows = len(hashes), -(-len(hashes) // 255)
-    lanes = np.zeros(rows * 255, dtype=np.uint64)  # 255 hashes fill a counter of 8 bits at most
-    lanes[:n] = hashes
-    lanes = lanes.reshape(rows, 255)
-    found = 0
-    for k in range(8):
-        sums = ((lanes >> np.uint64(k)) & np.uint64(0x0101010101010101)).sum(axis=1, dtype=np.uint64)
-        counts = sums.view(np.uint8).reshape(rows, 8).sum(axis=0, dtype=np.int64)
-        for byte in np.flatnonzero(2 * counts > n).tolist():
-            found |= 1 << (8 * byte + k)
-    return found
+    return majority_bits(shingle_hashes(data, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -60,13 +40,6 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def _gray_rank(x: Column) -> Column:
-    """The place of a value in the reflected Gray sequence: the running exclusive-or of its bits from the top."""
-    for shift in (1, 2, 4, 8, 16, 32):
-        x = x.bitwiseXOR(F.shiftrightunsigned(x, shift))
-    return x
-
-
 class GrayIndex:
     """A tree over Gray-sorted fingerprints. A node keeps the bits that all below it share, as a mask and a pattern."""
 
@@ -201,85 +174,96 @@ def _page_batch(pages: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in LINKS.split(", ")])
 
 
+def bucket_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Pages ``(order, bucket, arrays, give, partition)`` of one range partition sorted by order and Gray rank.
+
+    Batches have the columns order, bucket, any number of longs, and the partition's number. A page holds up to ``PAGE``
+    consecutive rows of one bucket. ``give`` says that the bucket has other pages, here or beyond an end of the
+    partition. What may go on in the next batch is held back, less than two pages.
+    """
+    import numpy as np
+
+    pid, held, first, open_bucket = None, None, True, None
+
+    def process(columns, final):
+        nonlocal first, open_bucket
+        rot, key = columns[0], columns[1]
+        code = rot.astype(np.int64) << 32 | key.astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        ends = np.r_[starts[1:], len(code)]
+        hold, pages = len(code), []
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            last = e == len(code)
+            if last and not final and e - s < PAGE:
+                hold = s
+                break
+            give = first or last or e - s > PAGE or open_bucket == code[s]
+            for at in range(s, e, PAGE):
+                if last and not final and at + PAGE > e:
+                    hold = at
+                    break
+                pages.append((int(rot[s]), int(key[s]), [c[at : min(at + PAGE, e)] for c in columns[2:]], give, pid))
+            open_bucket = code[s]
+            first = False
+        return pages, [c[hold:] for c in columns]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pid = batch.column(batch.num_columns - 1)[0].as_py() if pid is None else pid
+        columns = [np.asarray(batch.column(k)) for k in range(batch.num_columns - 1)]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        pages, held = process(columns, False)
+        yield from pages
+    if held is not None and len(held[0]):
+        yield from process(held, True)[0]
+
+
+def _signed(x) -> int:
+    import numpy as np
+
+    return int(np.uint64(x).view(np.int64))
+
+
+def shared_bits(values) -> tuple[int, int]:
+    """The bits that all values share, as a pattern and a mask."""
+    import numpy as np
+
+    both, either = np.bitwise_and.reduce(values), np.bitwise_or.reduce(values)
+    return _signed(both), _signed(~(both ^ either))
+
+
 def index_pages(distance: int):
-    """The function of one range partition, sorted by rotation and Gray rank: edges within pages, and pages.
+    """The function of one range partition: edges within pages, and pages.
 
-    A page holds up to ``PAGE`` consecutive fingerprints of one bucket. A bucket that lies in one page inside the
-    partition is finished here. Pages of larger buckets, and those at an end of the partition, are given out to be
-    compared with their bucket's other pages.
+    A bucket that lies in one page inside the partition is finished here. Pages of larger buckets, and those at an end
+    of the partition, are given out to be compared with their bucket's other pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        pid, number, first = None, 0, True
-        held_r = held_k = held_v = None
-        us, vs, n_edges = [], [], 0
-
-        def page(rotation, bucket, values, give):
-            nonlocal number, n_edges
+        number, us, vs, n_edges, pages = 0, [], [], 0, []
+        for rotation, bucket, (values,), give, pid in bucket_pages(batches):
+            values = values.view(np.uint64)
             labels = page_labels(values, distance)
             u, v = _edges(values, labels)
             us.append(u), vs.append(v)
             n_edges += len(u)
-            if not give:
-                return None
-            both, either = np.bitwise_and.reduce(values), np.bitwise_or.reduce(values)
-            number += 1
-            signed = lambda x: int(np.uint64(x).view(np.int64))
-            return (int(rotation), int(bucket), (pid << 32) + number, signed(both), signed(~(both ^ either)), values.tobytes(), labels.astype("<i4").tobytes())
-
-        def flush():
-            nonlocal us, vs, n_edges
-            out = _link_batch(np.concatenate(us), np.concatenate(vs)) if n_edges else None
-            us, vs, n_edges = [], [], 0
-            return out
-
-        def process(rot, key, val, final):
-            """Pages of all buckets but the last, or of all; gives the pages and what is held back."""
-            nonlocal first
-            pages = []
-            code = rot.astype(np.int64) << 32 | key.astype(np.int64)
-            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            ends = np.r_[starts[1:], len(code)]
-            hold = len(code)
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                last = e == len(code)
-                if last and not final and e - s < PAGE:
-                    hold = s
-                    break
-                give = first or last or e - s > PAGE or open_bucket[0] == code[s]
-                for at in range(s, e, PAGE):
-                    if last and not final and at + PAGE > e:
-                        hold = at
-                        break
-                    p = page(rot[s], key[s], val[at : min(at + PAGE, e)], give)
-                    if p:
-                        pages.append(p)
-                open_bucket[0] = code[s]
-                first = False
-            return pages, (rot[hold:], key[hold:], val[hold:])
-
-        open_bucket = [None]
-        for batch in batches:
-            pid = batch.column(3)[0].as_py() if pid is None and batch.num_rows else pid
-            rot, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            val = np.asarray(batch.column(2)).view(np.uint64)
-            if not len(rot):
-                continue
-            if held_r is not None:
-                rot, key, val = np.concatenate([held_r, rot]), np.concatenate([held_k, key]), np.concatenate([held_v, val])
-            pages, (held_r, held_k, held_v) = process(rot, key, val, False)
-            for at in range(0, len(pages), 64):
-                yield _page_batch(pages[at : at + 64])
+            if give:
+                number += 1
+                pages.append((rotation, bucket, (pid << 32) + number, *shared_bits(values), values.tobytes(), labels.astype("<i4").tobytes()))
+            if len(pages) == 64:
+                yield _page_batch(pages)
+                pages = []
             if n_edges > 50_000:
-                yield flush()
-        if held_r is not None and len(held_r):
-            pages, _ = process(held_r, held_k, held_v, True)
-            for at in range(0, len(pages), 64):
-                yield _page_batch(pages[at : at + 64])
-        if (out := flush()) is not None:
-            yield out
+                yield _link_batch(np.concatenate(us), np.concatenate(vs))
+                us, vs, n_edges = [], [], 0
+        if pages:
+            yield _page_batch(pages)
+        if n_edges:
+            yield _link_batch(np.concatenate(us), np.concatenate(vs))
 
     return run
 
@@ -307,36 +291,103 @@ def cross_pages(distance: int):
     return run
 
 
-def near_links(distinct: DataFrame, distance: int) -> DataFrame:
+def page_pairs(pages: DataFrame, distance: int, apart: Column | None = None) -> DataFrame:
+    """Pairs of pages of one bucket, numbers only, whose shared patterns differ in ``distance`` bits at most."""
+    small = pages.select("rotation", "bucket", "number", "pattern", "mask", *(["root"] if "root" in pages.columns else []))
+    a, b = (small.select("rotation", "bucket", *(F.col(c).alias(f"{c}_{x}") for c in small.columns[2:])) for x in "ab")
+    bits = F.bit_count(F.col("pattern_a").bitwiseXOR(F.col("pattern_b")).bitwiseAND(F.col("mask_a")).bitwiseAND(F.col("mask_b")))
+    met = a.join(b, ["rotation", "bucket"]).where((F.col("number_a") < F.col("number_b")) & (bits <= distance))
+    return (met if apart is None else met.where(apart)).select("number_a", "number_b")
+
+
+def with_pages(pairs: DataFrame, pages: DataFrame, *columns: str) -> DataFrame:
+    """The pages of each pair that is left, fetched by number."""
+    for x in "ab":
+        pairs = pairs.join(pages.select(F.col("number").alias(f"number_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns)), f"number_{x}")
+    return pairs.select(*(f"{c}_{x}" for x in "ab" for c in columns))
+
+
+def block_orders(n: int, distance: int, blocks: int | None = None) -> list[tuple[list[int], int]]:
+    """Orders for ``n`` fingerprints: the 64 bits from the top on, and how many of them make a bucket.
+
+    Fingerprints that differ in at most ``distance`` of ``m`` blocks agree in ``m - distance`` of them, so any choice of
+    so many blocks leads one order. One block more than ``distance`` makes few orders of short buckets; each block more
+    makes more orders of longer ones. The fewest blocks are taken whose buckets have two pages of fingerprints on average.
+    """
+    from itertools import combinations
+
+    def made(m: int):
+        bounds = [64 * k // m for k in range(m + 1)]
+        parts = [list(range(b - 1, a - 1, -1)) for a, b in zip(bounds, bounds[1:])]
+        for chosen in combinations(range(m), m - distance):
+            yield [x for k in (*chosen, *(k for k in range(m) if k not in chosen)) for x in parts[k]], sum(len(parts[k]) for k in chosen)
+
+    m = blocks or distance + 1
+    while not blocks and m < distance + 4 and n >> min(bits for _, bits in made(m)) > 2 * PAGE:
+        m += 1
+    return list(made(m))
+
+
+def turned_rows(orders: list[tuple[list[int], int]]):
+    """Rows ``(rotation, bucket, rank, ...)`` of every order for rows that begin with a fingerprint: the bits in that
+    order, their leading ones as the bucket, and their place in the reflected Gray sequence as a signed rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            fp = np.ascontiguousarray(np.asarray(batch.column(0)).view(np.uint64))
+            bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1)
+            for r, (order, key) in enumerate(orders):
+                columns = [8 * (b // 8) + 7 - b % 8 for b in order]  # bytes come lowest first, bits in them highest first
+                x = np.packbits(bits[:, columns], axis=1).reshape(-1).view(">u8").astype(np.uint64)
+                rank = x.copy()
+                for shift in (1, 2, 4, 8, 16, 32):  # the running exclusive-or of the bits from the top
+                    rank ^= rank >> np.uint64(shift)
+                rank ^= np.uint64(1 << 63)  # for a signed sort
+                found = [np.full(len(fp), r, np.int32), (x >> np.uint64(64 - key)).astype(np.int32), rank.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, found), *batch.columns], names=["rotation", "bucket", "rank", *batch.schema.names])
+
+    return run
+
+
+def ranked(rows: DataFrame, orders: list[tuple[list[int], int]]) -> DataFrame:
+    """``rows`` of longs, the first a fingerprint, in every order: range-partitioned by order and Gray rank, sorted, with
+    the partition's number."""
+    kinds = ", ".join(f"{c} bigint" for c in rows.columns)
+    turned = rows.mapInArrow(turned_rows(orders), f"rotation int, bucket int, rank bigint, {kinds}")
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = turned.repartitionByRange(n, "rotation", "rank").sortWithinPartitions("rotation", "rank")
+    return ordered.select("rotation", "bucket", *rows.columns, F.spark_partition_id().alias("pid"))
+
+
+def near_links(distinct: DataFrame, distance: int, scratch: Scratch, blocks: int | None = None) -> DataFrame:
     """Edges ``(u, v)`` that connect all distinct fingerprints (column ``fp``) within ``distance`` bits.
 
-    The 64 bits are cut into ``distance + 1`` blocks. Turning each block to the top in its turn and sorting by Gray
-    rank puts fingerprints that agree in it next to each other: every linked pair meets in one of these orders. Range
-    partitions of the orders are indexed apart, and pairs of pages of a bucket that lies in several are pruned by their
-    shared patterns. Of each page's links, a spanning forest goes out, never all pairs.
+    The 64 bits are cut into blocks. Turning some of them to the top and sorting by Gray rank puts fingerprints that
+    agree in them next to each other: every linked pair meets in one of these orders. Range partitions of the orders are
+    indexed apart, and pairs of pages of a bucket that lies in several are pruned by their shared patterns before the
+    pages themselves are fetched. Of each page's links, a spanning forest goes out, never all pairs.
     """
-    spark = distinct.sparkSession
-    n_blocks = distance + 1
-    bounds = [64 * k // n_blocks for k in range(n_blocks + 1)]
-    turned = []
-    for r, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        x = F.col("fp") if high == 64 else F.shiftleft("fp", 64 - high).bitwiseOR(F.shiftrightunsigned("fp", high))
-        turned.append(F.struct(F.lit(r).alias("rotation"), F.shiftrightunsigned(x, 64 - (high - low)).cast("int").alias("bucket"), _gray_rank(x).alias("rank")))
-    rows = distinct.select("fp", F.explode(F.array(*turned)).alias("t")).select("t.rotation", "t.bucket", "fp", "t.rank")
-    # ranks are unsigned: the top bit is turned over for a signed sort
-    rows = rows.withColumn("rank", F.col("rank").bitwiseXOR(F.lit(-(1 << 63))))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(n, "rotation", "rank").sortWithinPartitions("rotation", "rank")
-    found = stored(ordered.select("rotation", "bucket", "fp", F.spark_partition_id().alias("pid")).mapInArrow(index_pages(distance), LINKS), "simhash-index")
-    pages = found.where("page").select("rotation", "bucket", "number", "pattern", "mask", "members", "labels")
-    a = pages.select("rotation", "bucket", *(F.col(c).alias(c + "_a") for c in pages.columns[2:]))
-    b = pages.select("rotation", "bucket", *(F.col(c).alias(c + "_b") for c in pages.columns[2:]))
-    apart = F.bit_count(F.col("pattern_a").bitwiseXOR(F.col("pattern_b")).bitwiseAND(F.col("mask_a")).bitwiseAND(F.col("mask_b")))
-    pairs = a.join(b, ["rotation", "bucket"]).where((F.col("number_a") < F.col("number_b")) & (apart <= distance))
-    crossed = pairs.select("members_a", "labels_a", "members_b", "labels_b").mapInArrow(cross_pages(distance), "u bigint, v bigint")
+    orders = block_orders(distinct.count(), distance, blocks)
+    found = scratch.store(ranked(distinct.select("fp"), orders).mapInArrow(index_pages(distance), LINKS), "simhash-index")
+    pages = found.where("page")
+    crossed = with_pages(scratch.store(page_pairs(pages, distance), "simhash-pairs"), pages, "members", "labels").mapInArrow(cross_pages(distance), "u bigint, v bigint")
     return found.where("not page").select("u", "v").unionByName(crossed)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
+    """Join ``rows`` to ``table(key, rows, ...)``, which has one row a key and counts the rows of it, of ``n`` in all.
+
+    Keys of at least one in ``HOT`` of all rows are fewer than ``HOT``: they are broadcast, and their rows stay where
+    they are. The others meet in a shuffle.
+    """
+    hot = table.where(F.col("rows") * HOT >= n)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("rows") * HOT < n), key)
+    return near.unionByName(far)
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per input row.
 
@@ -344,24 +395,224 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     smallest ``doc_id`` that links reach. Null and blank texts have fingerprint zero and link like others; an empty
     table gives no rows; extra columns are ignored.
     """
-    prints = stored(fingerprints(docs, width), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    roots = stored(components(near_links(nodes.select("fp"), distance)), "fingerprint-roots")
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.store(fingerprints(docs, width), "fingerprints")
+        nodes = scratch.store(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "fingerprint-nodes")
+        roots = scratch.store(components(near_links(nodes.select("fp"), distance, scratch)), "fingerprint-roots")
+        rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
+        smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        labelled = rooted.join(smallest, "root").select("fp", "rows", "component_id")
+        found = spread_join(prints, labelled, "fp", prints.count())
+        return scratch.result(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "near-duplicates")
+
+
+# ---- one document of each group of near copies
 
+#: Bits in which fingerprints of near copies may differ: of sets of a similarity of 0.8, 9.7 of 64 do on average and over
+#: 15 in one case of fifty. ``LIKELY`` bits are those at which a pair has to meet in some order with ``RECALL``.
+REACH, LIKELY, RECALL = 15, 11, 0.97
+#: Bits of a bucket, at the least.
+LEAST_KEY = 8
 
-def keep_one(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` but those whose id isn't the smallest of their near-duplicates.
 
-    Of rows that repeat an id, one stays; rows without an id stay, as nothing can name them.
+def random_orders(n: int, seed: int = 7) -> list[tuple[list[int], int]]:
+    """Permutations of the 64 bits for ``n`` fingerprints, and the leading bits that make a bucket.
+
+    Buckets have a page on average. Each order brings a pair that differs in ``LIKELY`` bits into one bucket with a
+    chance that falls with the bits of a bucket; there are as many orders as make that ``RECALL`` in all, a number that
+    grows with about the fourth root of ``n``.
+    """
+    import math
+    import random
+
+    key = max(LEAST_KEY, (max(1, n) // PAGE).bit_length())
+    chance = math.comb(64 - LIKELY, key) / math.comb(64, key)
+    r = random.Random(seed)
+    return [(r.sample(range(64), 64), key) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - chance)))]
+
+
+PAIRS = "page boolean, rotation int, bucket int, number bigint, pattern bigint, mask bigint, root bigint, members binary, nodes binary, roots binary, u bigint, v bigint, apart int"
+
+
+def _pair_batch(u, v, apart) -> pa.RecordBatch:
+    import numpy as np
+
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    columns = [pa.array(np.zeros(len(u), bool)), *(pa.nulls(len(u), k) for k in kinds), pa.array(u), pa.array(v), pa.array(apart.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PAIRS.split(", ")])
+
+
+def _given_batch(pages: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+    rows = [(True, *p, None, None, None) for p in pages]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in PAIRS.split(", ")])
+
+
+def close_pairs(a: GrayIndex, b: GrayIndex, distance: int) -> Iterator[tuple]:
+    import numpy as np
+
+    for i, j in tree_pairs(a, b, distance):
+        yield i, j, np.bitwise_count(a.values[i] ^ b.values[j])
+
+
+def first_partners(distance: int):
+    """The function of one range partition: for each row of a page, its first and its nearest partner before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for _, _, (fp, node, _), _, _ in bucket_pages(batches):
+            index, n = GrayIndex(fp.view(np.uint64)), len(fp)
+            order = np.argsort(node, kind="stable")  # by node, the same document is the first one in all orders
+            place = np.empty(n, dtype=np.int64)
+            place[order] = np.arange(n)
+            node, values = node[order], index.values[order]
+            first, near = np.full(n, n, dtype=np.int64), np.full(n, 65 * n, dtype=np.int64)
+            for i, j, apart in close_pairs(index, index, distance):
+                i, j = place[i], place[j]
+                low, high = np.minimum(i, j), np.maximum(i, j)
+                np.minimum.at(first, high, low)
+                np.minimum.at(near, high, apart.astype(np.int64) * n + low)
+            own = np.flatnonzero(first < n)
+            if len(own):
+                pairs = np.unique(np.concatenate([np.stack([first[own], own]), np.stack([near[own] % n, own])], axis=1), axis=1)
+                u, v = pairs
+                yield _pair_batch(node[u], node[v], np.bitwise_count(values[u] ^ values[v]))
+
+    return run
+
+
+def open_pairs(distance: int):
+    """The function of one range partition: pairs of different roots within pages, and pages of larger buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        number, pages = 0, []
+        for rotation, bucket, (fp, node, root), give, pid in bucket_pages(batches):
+            values = fp.view(np.uint64)
+            if give:
+                number += 1
+                one = int(root[0]) if (root == root[0]).all() else None
+                pages.append((rotation, bucket, (pid << 32) + number, *shared_bits(values), one, values.tobytes(), node.tobytes(), root.tobytes()))
+            if len(pages) == 16:
+                yield _given_batch(pages)
+                pages = []
+            if (root != root[0]).any():
+                index = GrayIndex(values)
+                yield from _apart(close_pairs(index, index, distance), (node, root), (node, root))
+        if pages:
+            yield _given_batch(pages)
+
+    return run
+
+
+def _apart(pairs, a: tuple, b: tuple) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    for i, j, bits in pairs:
+        keep = a[1][i] != b[1][j]
+        if keep.any():
+            u, v = a[0][i[keep]], b[0][j[keep]]
+            yield _pair_batch(np.minimum(u, v), np.maximum(u, v), bits[keep])
+
+
+def open_cross(distance: int):
+    """Pairs of different roots of two pages of one bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                (fa, na, ra), (fb, nb, rb) = (tuple(np.frombuffer(x, np.int64) for x in half) for half in (row[:3], row[3:]))
+                found = close_pairs(GrayIndex(fa.view(np.uint64)), GrayIndex(fb.view(np.uint64)), distance)
+                for out in _apart(found, (na, ra), (nb, rb)):
+                    yield out.select(["u", "v", "apart"])
+
+    return run
+
+
+def _best(pairs: DataFrame, by: list[str]) -> DataFrame:
+    return pairs.groupBy(*by).agg(F.min(F.struct("apart", "u", "v")).alias("p")).select("p.u", "p.v")
+
+
+def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """``(node, root)`` for the nodes that links join to others; ``nodes(node, fp, key)`` are distinct shingle sets.
+
+    Links are pairs of nodes whose fingerprints differ in ``REACH`` bits at most, that meet in a bucket of some order,
+    and whose whole sets have a Jaccard similarity of ``num / den`` or more. First each node is checked against two of
+    its partners in an order, then against the nearest of each other group, then all pairs that groups leave open, so
+    that members of a large group are not paired with each other.
+    """
+    orders = random_orders(nodes.count())
+
+    def met(roots: DataFrame | None, function) -> DataFrame:
+        rows = nodes.select("fp", "node")
+        rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots.select("node", F.col("root").alias("r")), "node", "left").select("fp", "node", F.coalesce("r", "node").alias("root"))
+        return scratch.store(ranked(rows, orders).mapInArrow(function, PAIRS), "copies-index")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return scratch.store(similar_pairs(scratch.store(pairs, "copies-pairs"), nodes, docs, width, num, den, scratch), "copies-links")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return scratch.store(components(links), "copies-roots")
+
+    found = met(None, first_partners(REACH)).select("u", "v", "apart")
+    first, nearest = found.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), _best(found, ["v"])
+    tried = scratch.store(first.unionByName(nearest).distinct(), "copies-tried")
+    links = checked(tried)
+    roots = rooted(links)
+    for nearest_only in (True, False):
+        found = met(roots, open_pairs(REACH))
+        pages = found.where("page")
+        different = F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
+        crossed = with_pages(scratch.store(page_pairs(pages, REACH, different), "copies-pages"), pages, "members", "nodes", "roots")
+        pairs = found.where("not page").select("u", "v", "apart").unionByName(crossed.mapInArrow(open_cross(REACH), "u bigint, v bigint, apart int")).distinct()
+        left = scratch.store(pairs.join(tried, ["u", "v"], "left_anti"), "copies-open")
+        if left.isEmpty():
+            break
+        if nearest_only:
+            root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+            sided = left.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").withColumns({f"{c}_root": F.coalesce(f"{c}_root", c) for c in "uv"})
+            left = _best(sided, ["u", "v_root"]).unionByName(_best(sided, ["v", "u_root"])).distinct()
+        more = checked(left.select("u", "v"))
+        tried = scratch.store(tried.unionByName(left.select("u", "v")), "copies-tried")
+        links = scratch.store(links.unionByName(more), "copies-links")
+        roots = rooted(links)
+    return roots
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row of each group of near copies, with all columns: that of the smallest id, by its text's digest of a tie.
+
+    Groups are joined by links between texts whose sets of ``width``-word shingles have a Jaccard similarity of ``num /
+    den`` or more, found by the Gray-order index of their fingerprints (:func:`similar_groups`) and checked on the whole
+    sets. Texts without words, null ones too, are copies of each other, and so are texts with equal sets, of any length.
+
+    A row is named by its id and its text's digest: rows that share an id with other texts are judged apart, and rows
+    without an id come after all others. Of rows with equal id and text one stays, the first by its columns as JSON. An
+    empty table gives an empty result.
     """
-    found = near_duplicates(docs, width, distance)
-    gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if ids["n"] == ids["d"]:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.store(shingled(docs, width), "copies-rows")
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_digest")
+        grouped = rows.groupBy("digest").agg(F.min(order).alias("least"), F.first("fp").alias("fp"))
+        # numbered once, as it is written
+        nodes = scratch.store(grouped.select(F.monotonically_increasing_id().alias("node"), "fp", "least"), "copies-nodes")
+        named = nodes.select("node", "fp", "least.doc_id", "least.text_digest")
+        roots = similar_groups(named, docs, width, num, den, scratch)
+        of = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
+        kept = scratch.store(of.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.text_digest"), "copies-kept")
+        here = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_digest"] == b["text_digest"])
+        keys = rows.groupBy("doc_id", "text_digest").agg(F.count("*").alias("rows"))
+        gone = stored(keys.join(kept, here(keys, kept), "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("text_digest").alias("gone_text")), "copies-gone")
+        twice = stored(keys.where("rows > 1").join(kept, here(keys, kept), "left_semi").select(F.col("doc_id").alias("gone_id"), F.col("text_digest").alias("gone_text")), "copies-twice")
+    keyed = docs.withColumn("_copies_key", copies_key("text"))
+    same = lambda t: F.col("doc_id").eqNullSafe(t["gone_id"]) & (F.col("_copies_key") == t["gone_text"])
+    left = keyed.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    row = F.struct(*docs.columns)
+    once = left.join(twice, same(twice), "left_semi").groupBy("doc_id", "_copies_key").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return left.join(twice, same(twice), "left_anti").select(*docs.columns).unionByName(once)

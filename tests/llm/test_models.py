@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from narrative_spark.llm import html_text, language_id, matroska, toxicity
+from narrative_spark.llm import html_text, language_id, matroska, sampling, toxicity
 from narrative_spark.llm.boosting import BoostedTrees
 
 from .conftest import prose
@@ -33,10 +33,44 @@ def test_cross_parsing_against_brute_force():
     m = language_id.LanguageModel({"en": sample, "de": language_id.letters_only(speech("de", 1, 80))})
     for text in (speech("en", 2, 20), speech("de", 3, 20), "xyz qqq", "a"):
         lanes = m.lanes(text)[: language_id.LANE]
-        got = language_id.cross_phrases(m.tables[1], lanes[None, :], np.array([len(lanes)]))[0]
+        got = language_id.cross_phrases(m.automata[1], m.own[1][lanes][None, :], np.array([len(lanes)]))[0]
         assert got == brute_phrases(sample, language_id.letters_only(text)[: language_id.LANE])
 
 
+def test_hash_tables_follow_like_dense_ones():
+    r = random.Random(8)
+    text = [r.randrange(300) for _ in range(3000)]
+    dense, sparse = language_id.SuffixAutomaton(text, 301, 1 << 24), language_id.SuffixAutomaton(text, 301, 0)
+    assert dense.keys is None and sparse.table is None and len(sparse.keys) < 8 * 3 * len(text)
+    state, c = np.random.default_rng(1).integers(0, len(dense.table), 20000), np.random.default_rng(2).integers(0, 301, 20000)
+    assert (dense.follow(state, c) == sparse.follow(state, c)).all() and (dense.table >= 0).sum() == (sparse.keys >= 0).sum()
+    moves = np.argwhere(dense.table >= 0)
+    assert (sparse.follow(moves[:, 0], moves[:, 1]) == dense.table[moves[:, 0], moves[:, 1]]).all()
+
+
+def test_letters_beyond_the_first_plane():
+    gothic, osage = "".join(map(chr, range(0x10330, 0x10340))), "".join(map(chr, range(0x104D8, 0x104E8)))
+    m = language_id.LanguageModel({"got": gothic * 5, "osa": osage * 5})
+    assert [x[0] for x in m.predict([gothic[3:9], osage[2:8], "12 .", None])] == ["got", "osa", "und", "und"]
+
+
+def test_a_corpus_of_long_texts_is_learnt(documents):
+    """Labelled texts are all longer than the sample takes: pieces of them are learnt."""
+    rows = [(k, speech(lang, k, 2500), lang) for k, lang in enumerate(["en", "de"] * 20)]
+    got = language_id.identify(documents(rows)).collect()
+    assert all(r.lang_pred == dict((k, lang) for k, _, lang in rows)[r.doc_id] for r in got)
+
+
+def test_samples_are_bounded_and_repeatable(spark, documents):
+    rows = [(k, f"text {k} " + "x" * (50 if k % 3 else 500), "hot" if k % 10 else "rare") for k in range(3000)] + [(7, "other", "hot"), (None, "no id", "hot")]
+    table = documents(rows)
+    labels = table.selectExpr("doc_id", "lang as label")
+    one, two = (sampling.sample_texts(t, labels, 40, 200) for t in (table, table.orderBy("n_chars", "text").coalesce(1)))
+    assert one == two and {label: sum(x == label for _, x in one) for label in ("hot", "rare")} == {"hot": 40, "rare": 40}
+    assert all(len(t.encode()) <= 200 for t, _ in one) and not any(zlib.crc32(t.split()[1].encode()) % 4 == 2 for t, _ in one if t[:4] == "text" and "x" in t)
+    assert sampling.sample_texts(table, labels.where("label = 'none'"), 5, 200) == []
+
+
 def test_language_of_documents(documents):
     rows = [(k, speech(lang, k), lang) for k, lang in enumerate(list(WORDS) * 30)]
     rows += [(500, None, "en"), (501, "", "en"), (502, "12 ... 34", "en"), (503, speech("de", 7, 3000), None), (504, speech("fr", 9), "fr"), (504, speech("fr", 9), "fr")]
@@ -111,6 +145,33 @@ def test_toxicity(spark, documents, toxic_rows):
     assert toxicity.score_documents(documents([]), table).count() == 0
 
 
+def test_toxicity_of_long_texts_only(spark, documents):
+    rows, labels = [], []
+    for k in range(240):
+        words = prose(k, 4000).split()
+        if k % 3 == 0:
+            for at in random.Random(k).sample(range(4000), 400):
+                words[at] = random.Random(at).choice(("scoundrel", "blockhead"))
+        rows.append((k, " ".join(words)))
+        labels.append((k, 1, int(k % 3 == 0)))
+    got = toxicity.score_documents(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r.predicted == int(r.doc_id % 3 == 0) for r in got if r.held_out]
+    assert len(held) > 30 and all(held)
+
+
+def test_toxicity_query_against_plain_steps(documents, toxic_rows):
+    """Scores and spans of the query equal those of all paths of each chain, summed one by one."""
+    rows, labels = toxic_rows
+    model = toxicity.ToxicityModel().train([(t, y) for (_, t), (_, _, y) in zip(rows[:300], labels)])
+    short = [(k, " ".join(t.split()[:9])) for k, t in rows[:25]]
+    got = {r.doc_id: r for r in toxicity.score_documents(documents(short), None, model=model).collect()}
+    for k, text in short:
+        p, _ = brute_chain([model.emission(w) for w in toxicity.TOKEN.findall(text)], model.transition)
+        w, odds = model.score_weights, np.log(p.max() / (1 - p.max()))
+        want = toxicity.sigmoid(w[0] + w[1] * np.log(p.sum() + 1e-4) + w[2] * np.log(len(p) + 1) + w[3] * np.clip(odds, -20, 20))
+        assert np.isclose(got[k].score, want, atol=1e-6) and sum(len(text[s.start : s.end].split()) for s in got[k].spans) == (p > 0.5).sum()
+
+
 def test_matroska_round_trip():
     for n in (0, 1, 63, 64, 65, 255, 256, 257, 511, 2048, 2049, 32768, 32769, 70000):
         payload = matroska.pad(bytes(k * 7 % 251 for k in range(n)))
@@ -140,6 +201,34 @@ def test_matroska_foreign_layouts():
     assert matroska.parse(b"not media at all").packets == []
 
 
+def test_matroska_damage_never_raises(spark):
+    E, uint, U = matroska.element, matroska.uint, matroska.size_bytes
+    deep = b""
+    for _ in range(3000):
+        deep = E(matroska.BLOCK_GROUP, deep)
+    long_time = matroska.CLUSTER_TIMESTAMP.to_bytes(1, "big") + U(12) + b"\x7f" * 12
+    block = E(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x80abc")
+    far = E(matroska.CLUSTER, uint(matroska.CLUSTER_TIMESTAMP, (1 << 62)) + block)
+    scale = E(matroska.INFO, uint(matroska.TIMESTAMP_SCALE, 1 << 40))
+    cases = [
+        E(matroska.SEGMENT, deep + E(matroska.CLUSTER, block)), E(matroska.SEGMENT, E(matroska.CLUSTER, block + long_time + block)), E(matroska.SEGMENT, scale + far),
+        E(matroska.SEGMENT, E(matroska.INFO, E(matroska.DURATION, b"xyz")) + E(matroska.CLUSTER, block)),
+    ]
+    found = [matroska.parse(c) for c in cases]
+    assert [len(m.packets) for m in found] == [1, 1, 0, 0] and [m.damaged for m in found] == [False, True, True, True]
+    table = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(cases)], "doc_id long, media binary")
+    assert sorted(r.doc_id for r in matroska.packet_table(table).collect()) == [0, 1]
+    r = random.Random(3)
+    good = matroska.mux(matroska.pad(prose(1, 400).encode()))
+    for _ in range(300):
+        bad = bytearray(good)
+        for _ in range(r.randint(1, 6)):
+            bad[r.randrange(len(bad))] = r.randrange(256)
+        matroska.feature(matroska.parse(bytes(bad)))
+    info = good[good.index(matroska.INFO.to_bytes(4, "big")) :]
+    assert matroska.MUXING_APP.to_bytes(2, "big") in info and matroska.WRITING_APP.to_bytes(2, "big") in info  # mandatory
+
+
 def test_media_table(spark, documents):
     rows = [(1, None), (2, ""), (3, "x" * 64), (4, "Größe " * 3000), (5, "same"), (6, "same"), (5, "same")]
     got = matroska.media_table(documents(rows)).collect()
@@ -189,6 +278,41 @@ def test_decoding_has_no_contradiction(page_model):
         assert all(n.parent.keep for n in order if n.keep and n.parent is not None)
 
 
+def test_decoding_is_the_best_of_all():
+    """Of all choices without a kept node below a dropped one, the decoding has the greatest likelihood."""
+    import itertools
+
+    r = html_text._Random(11)
+    for _ in range(40):
+        root = html_text.Node("#root", None)
+        nodes = [root]
+        for _ in range(r.randint(1, 9)):
+            nodes.append(html_text.Node("div", r.choice(nodes)))
+        order = html_text.nodes_of(root)
+        odds = [r.uniform(-3, 3) for _ in order]
+        value = lambda keep: sum(-np.log1p(np.exp(-o)) if k else -np.log1p(np.exp(o)) for k, o in zip(keep, odds))
+        place = {id(n): k for k, n in enumerate(order)}
+        choices = (c for c in itertools.product((False, True), repeat=len(order)) if c[0] and all(not k or n.parent is None or c[place[id(n.parent)]] for k, n in zip(c, order)))
+        best = max(map(value, choices))
+        html_text.decode(order, odds)
+        assert np.isclose(value([n.keep for n in order]), best)
+
+
+def test_attribute_words_in_any_case():
+    tokens = lambda v: [t.lower() for t in html_text.SPLIT.split(v) if t]
+    assert tokens("Sidebar") == ["sidebar"] and tokens("articleBody") == ["article", "body"] and tokens("NAV main_col2") == ["nav", "main", "col"]
+    order = html_text.nodes_of(html_text.build_tree("<div class='Sidebar'>a</div><div ID=NAV>b</div><div itemprop=articleBody>c</div>"))
+    assert [(n.aside, n.article) for n in order if n.tag == "div"] == [(1, 0), (1, 0), (0, 2)]
+
+
+def test_pages_query_against_plain_steps(spark, page_model):
+    """The distributed extraction equals the model applied to each page alone, whatever the cut of the table."""
+    r = html_text._Random(77)
+    rows = [(k, f"u{k}", html_text.training_page(r).replace(' k="1"', "")) for k in range(40)] + [(40, "u", "<p>" + "word " * 200000), (41, None, "<div>" * 30000 + "deep")]
+    got = {x.page_id: x.text for x in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), page_model).collect()}
+    assert got == {k: page_model.extract([h])[0] for k, _, h in rows}
+
+
 def test_tree_and_blocks():
     page = "<body>a &amp; b<p>one<b> two<br>three</b><p>four <a href=x>link</a> \n five<ul><li>x<li>y</ul><script>var p='<p>no</p>';</script><!-- no <p> --><style>p{}</style>tail &#233;&copy"
     order = html_text.nodes_of(html_text.build_tree(page))

@@ -7,6 +7,7 @@ import numpy as np
 
 from narrative_spark.llm import decontaminate, sharding, simhash
 from narrative_spark.llm.components import components
+from narrative_spark.llm.runtime import Scratch
 
 from .conftest import prose
 
@@ -76,19 +77,68 @@ def test_hot_bucket_over_many_pages(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PAGE", 64)
     table = spark.createDataFrame([(signed(x),) for x in values], "fp long").coalesce(1)
     # pages are cut on this side: one partition's function, called as Spark does
-    edges = simhash.near_links(table, 4).collect()
     index = {signed(x): k for k, x in enumerate(values)}
-    got = simhash.merged(np.arange(len(values)), np.array([index[e.u] for e in edges]), np.array([index[e.v] for e in edges]))
-    assert (got == want).all()
+    for blocks in (None, 6, 7):
+        with Scratch(spark) as scratch:
+            edges = simhash.near_links(table, 4, scratch, blocks).collect()
+        got = simhash.merged(np.arange(len(values)), np.array([index[e.u] for e in edges]), np.array([index[e.v] for e in edges]))
+        assert (got == want).all()
     assert (simhash.page_labels(whole, 4) == want).all()
 
 
-def test_keep_one(documents):
-    text = prose(1, 120)
-    rows = [(5, text), (3, text), (9, prose(2, 120)), (9, prose(2, 120)), (None, prose(3, 120)), (None, prose(4, 120))]
-    kept = simhash.keep_one(documents(rows))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "9", "None", "None"]
+def test_orders_follow_the_number_of_fingerprints():
+    assert [len(simhash.block_orders(n, 4)) for n in (0, 10**6, 10**9, 10**12)] == [5, 5, 15, 35]
+    for n in (10, 10**7, 10**10):
+        for order, bits in simhash.block_orders(n, 4):
+            assert sorted(order) == list(range(64)) and 0 < bits < 31
+    small, large = simhash.random_orders(1000), simhash.random_orders(10**9)
+    assert small[0][1] == 8 and large[0][1] == 18 and len(small) < len(large) < 200
+
+
+def near_copies_of(seed, n, edits):
+    """Texts of ``n`` words: a base and copies with some words changed."""
+    r, base = random.Random(seed), prose(seed, n).split()
+    for k in edits:
+        words = list(base)
+        for at in r.sample(range(n), k):
+            words[at] = f"edit{r.randrange(10**6)}"
+        yield " ".join(words)
+
+
+def brute_groups(texts, width=5):
+    """Components of all pairs of a similarity of 0.8 or more, by comparing all sets."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    n, labels = len(sets), np.arange(len(sets))
+    pairs = [(i, j) for j in range(n) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    if pairs:
+        labels = simhash.merged(labels, *(np.array(x) for x in zip(*pairs)))
+    return labels, pairs
+
+
+def test_near_copies_against_brute_force(documents, monkeypatch):
+    texts = ["", None, " \n", "one", "One", "two words", "two  WORDS", "only three words", "a long tale " * 4000]
+    for k in range(40):
+        texts += near_copies_of(k, 150, [0, 1, 2, 2, 3, 3])
+        texts.append(prose(1000 + k, 150))
+    texts += near_copies_of(99, 400, [0] + [4] * 120)  # a large group whose members are all alike
+    rows = [(3 * k + 1, t) for k, t in enumerate(texts)]
+    labels, pairs = brute_groups(texts)
+    monkeypatch.setattr(simhash, "PAGE", 64)
+    kept = simhash.keep_one(documents(random.Random(5).sample(rows, len(rows))))
     assert kept.columns == documents([]).columns
+    got, want = {r.doc_id for r in kept.collect()}, {rows[k][0] for k in range(len(rows)) if labels[k] == k}
+    assert want <= got and len(got - want) <= 0.02 * (len(rows) - len(want))  # nothing else goes, and all but all copies do
+
+
+def test_rows_that_share_an_id(documents):
+    text, other = prose(1, 120), prose(2, 120)
+    rows = [(5, text), (3, text), (9, text), (9, other), (9, other), (None, prose(3, 120)), (None, prose(4, 120)), (None, other), (12, other + " end"), (12, prose(5, 120))]
+    kept = simhash.keep_one(documents(rows))
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("3", text), ("9", other), ("12", prose(5, 120)), ("None", prose(3, 120)), ("None", prose(4, 120))])
+    assert simhash.keep_one(documents([])).count() == 0
 
 
 def test_components(spark):
@@ -136,6 +186,18 @@ def test_leaks_against_brute_force(spark, documents):
     kept = decontaminate.drop_contaminated(documents(docs), table)
     assert {r.doc_id for r in kept.collect()} == {2, 5, 6, 7, 11} - {d for d, *_, c in brute_leaks(docs, items) if c}
     assert kept.columns == documents([]).columns
+    shared = documents([(1, prose(62, 40)), (1, prose(50, 30)), (None, prose(50, 30)), (None, "x"), (2, None)])
+    assert sorted((str(r.doc_id), r.text) for r in decontaminate.drop_contaminated(shared, table).collect()) == sorted([("1", prose(62, 40)), ("None", "x"), ("2", None)], key=str)
+    assert decontaminate.drop_contaminated(documents([]), table).count() == 0
+
+
+def test_salted_words_and_no_filter(spark, documents, monkeypatch):
+    items = [(1, prose(50, 30)), (2, "solo")]
+    docs = [(k, prose(60 + k, 20) + " " + (prose(50, 30) if k % 3 else "solo")) for k in range(12)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "SMALL", 0)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1)
+    assert sorted(tuple(r) for r in decontaminate.contamination(documents(docs), table).collect()) == brute_leaks(docs, items)
 
 
 def test_repeated_ids_are_counted_apart(spark, documents):

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from narrative_spark.llm import encoding
 from narrative_spark.llm.packing import cut_pieces, pack_documents, plan_packing
 from narrative_spark.llm.queries import BYTE_VOCABULARY, WORD_VOCABULARY
+from narrative_spark.llm import token_counts, token_files
 from narrative_spark.llm.token_counts import count_tokens
 from narrative_spark.llm.token_files import read_token_files, token_file_table
 
@@ -57,6 +58,90 @@ def test_counts(documents):
     assert count_tokens(documents([]), WORD_VOCABULARY).count() == 0
 
 
+def test_batches_are_balanced_by_bytes(monkeypatch):
+    calls = []
+    c = token_counts.PieceCounts(encoding.tokenizer_path(WORD_VOCABULARY), most=50)
+    real = c.lengths
+    monkeypatch.setattr(c, "lengths", lambda fresh: calls.append(fresh) or real(fresh))
+    texts = [prose(k, 30).encode() for k in range(40)] + [prose(50, 3000).encode(), b"x" * 5000]
+    ids = library(WORD_VOCABULARY)
+    assert c.count(texts, 2000) == [len(ids(t.decode())) for t in texts]
+    assert len(calls) > 10 and all(len(set(x)) == len(x) for x in calls) and len(c.known) <= 50
+
+
+def test_files_with_other_settings_are_encoded_whole(documents, tmp_path):
+    import json
+
+    with open(encoding.tokenizer_path(WORD_VOCABULARY), encoding="utf-8") as f:
+        own = json.load(f)
+    own["pre_tokenizer"]["pretokenizers"][0] = {"type": "Split", "pattern": {"Regex": "[a-z]+ [a-z]+|[a-z]+"}, "behavior": "Removed", "invert": True}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(own, f)
+    assert encoding.cut_here("word", encoding.tokenizer_path(WORD_VOCABULARY)) and encoding.cut_here("byte", encoding.tokenizer_path(BYTE_VOCABULARY))
+    assert not encoding.cut_here("word", path) and not encoding.cut_here("word", encoding.tokenizer_path(BYTE_VOCABULARY))
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in count_tokens(documents(list(enumerate(ODD))), path).collect()}
+    assert got == {k: len(t.encode(x or "", add_special_tokens=False).ids) for k, x in enumerate(ODD)}
+
+
+def test_sentencepiece_files(documents):
+    import sentencepiece
+
+    path = encoding.tokenizer_path("piece_bpe_32k.model")
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r.doc_id: r.n_tokens for r in count_tokens(documents(list(enumerate(ODD))), path).collect()}
+    assert got == {k: len(p.encode(x or "")) for k, x in enumerate(ODD)}
+
+
+def test_rows_that_share_an_id(documents):
+    rows = [(1, "b"), (1, "a longer text"), (1, None), (0, "first"), (1, "b"), (2, "last")]
+    ids = library(BYTE_VOCABULARY)
+    got = sorted(token_file_table(documents(rows), BYTE_VOCABULARY, 2).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [0, 1, 1, 1, 1, 2] and sorted(r.n_tokens for r in got) == sorted(len(ids(t)) + 1 for _, t in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    again = sorted(token_file_table(documents(rows[::-1]), BYTE_VOCABULARY, 2).collect(), key=lambda r: r.start)
+    assert got == again
+
+
+def test_bloom_filters_and_stripes(spark, documents, tmp_path):
+    """Files have Bloom filters and statistics of ids, and a look-up by id reads a few strides of rows only."""
+    import glob
+
+    path = f"{tmp_path}/big"
+    token_files.write_token_files(documents([(2 * k, f"text {k}") for k in range(40000)]), f"file://{path}", BYTE_VOCABULARY, 2)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    orc, bloom = jvm.org.apache.orc, 0
+    for file in glob.glob(f"{path}/*.orc"):
+        reader = orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(file), orc.OrcFile.readerOptions(conf))
+        assert reader.getCompressionKind().toString() == "ZSTD" and reader.getRowIndexStride() == 1000 and reader.getStripeStatistics().size() == reader.getStripes().size() > 0
+        records = reader.rows()
+        for stripe in reader.getStripes():
+            streams = records.readStripeFooter(stripe).getStreamsList()
+            bloom += sum(x.getKind().toString().startswith("BLOOM_FILTER") and x.getColumn() == 1 for x in streams)
+        records.close()
+    assert bloom >= len(glob.glob(f"{path}/*.orc"))
+    found = read_token_files(spark, f"file://{path}")
+    for wanted, most in ((40000, 1000), (40001, 0)):  # the second one lies between two ids: the filter knows it isn't there
+        hit = found.where(f"doc_id = {wanted}").select("doc_id", "n_tokens")
+        assert hit.count() == (wanted % 2 == 0)
+        plan = hit._jdf.queryExecution()
+        hit._jdf.rdd().count()
+        scan = next(x for x in _nodes(plan.executedPlan()) if "FileSourceScan" in x.getClass().getName())
+        assert scan.metrics().apply("numOutputRows").value() <= most + 1000 * (most == 0)
+
+
+def _nodes(plan):
+    """All nodes of a plan, below adaptive ones too."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _nodes(plan.executedPlan())
+    children = plan.children()
+    return [plan, *(x for k in range(children.size()) for x in _nodes(children.apply(k)))]
+
+
 def test_token_files(spark, documents, tmp_path):
     ids = library(BYTE_VOCABULARY)
     rows = [(3 * k - 5, t) for k, t in enumerate(ODD)]
