@@ -1,12 +1,13 @@
-"""What the workers need: this package, wherever it is installed."""
+"""What the workers need, this package, wherever it is installed; and tables that a flow meets more than once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -21,3 +22,31 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(file, f"{package.name}/{file.relative_to(package)}")
     context.addPyFile(str(target))
     context._narrative_shipped = True
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the folder of ``spark.checkpoint.dir``, so that what it costs, a model's replies above all, is
+    paid once and survives a lost executor. The folder goes when Spark ends.
+
+    Where no folder is set, as in a local session, it is cached.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return df.persist()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(df: DataFrame) -> None:
+    """Give up a table of :func:`kept` that nothing reads any more."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        df.unpersist()
+        return
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
