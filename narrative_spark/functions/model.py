@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -33,17 +34,39 @@ def call_with_retry(complete: Completion, prompt: str, retries: int = 2, backoff
     return {"content": None, "ok": False, "attempts": retries + 1, "prompt_tokens": 0, "completion_tokens": 0, "cached_tokens": 0, "error": error}
 
 
-def complete_rows(prompts: DataFrame, complete: Completion, retries: int = 2, backoff: float = 1.0) -> DataFrame:
+def is_object(content: str) -> bool:
+    """Whether a reply is a JSON object, fenced or not."""
+    try:
+        return isinstance(json.loads(re.sub(r"^```[A-Za-z]*\s*|\s*```$", "", content.strip())), dict)
+    except ValueError:
+        return False
+
+
+def read_with_retry(complete: Completion, prompt: str, readable: Callable[[str], bool], tries: int = 2, **how) -> dict:
+    """A call whose reply has to be readable: it is asked for ``tries`` times, then the call counts as failed. Attempts
+    and tokens of all tries are added up."""
+    total: dict = {}
+    for _ in range(tries):
+        got = call_with_retry(complete, prompt, **how)
+        total = got | {k: got[k] + total.get(k, 0) for k in ("attempts", "prompt_tokens", "completion_tokens", "cached_tokens")}
+        if not got["ok"] or readable(got["content"]):
+            return total
+    return total | {"ok": False, "error": f"no readable reply in {tries} tries"}
+
+
+def complete_rows(prompts: DataFrame, complete: Completion, retries: int = 2, backoff: float = 1.0, readable: Callable[[str], bool] | None = None) -> DataFrame:
     """``prompts`` (with a column ``prompt``) plus the columns of a call, one call a row, in Arrow batches.
 
-    ``complete`` is sent to the workers, so it must be serialisable; a service's client belongs inside it.
+    ``complete`` is sent to the workers, so it must be serialisable; a service's client belongs inside it. With
+    ``readable``, replies that aren't are asked for once more. A plan that is read twice calls twice: keep its table.
     """
     ship_package(prompts.sparkSession)
     names = [x.split()[0] for x in CALL.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            calls = pd.DataFrame([call_with_retry(complete, p, retries, backoff) for p in batch["prompt"]], columns=names, index=batch.index)
+            ask = lambda p: read_with_retry(complete, p, readable, retries=retries, backoff=backoff) if readable else call_with_retry(complete, p, retries, backoff)
+            calls = pd.DataFrame([ask(p) for p in batch["prompt"]], columns=names, index=batch.index)
             yield pd.concat([batch, calls], axis=1)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
@@ -55,8 +78,18 @@ def unfenced(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.trim(col(c)), r"(?s)^```[A-Za-z]*\s*|\s*```$", ""))
 
 
+def parsed(c: Column | str) -> Column:
+    """JSON as a variant, null unless the text is one value and nothing else.
+
+    The parser stops behind a first value; in brackets and in braces, what follows a value shows, a closing one too.
+    """
+    c = col(c)
+    whole = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
+    return F.when(whole, F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit("}"))), "$.x", "variant"))
+
+
 def _list(json_text: Column, *paths: str) -> Column:
-    v = F.try_parse_json(json_text)
+    v = parsed(json_text)
     return F.coalesce(*(F.try_variant_get(v, p, "array<string>") for p in paths))
 
 
@@ -72,7 +105,7 @@ GROUP = "array<struct<main:string,aliases:array<string>,reason:string>>"
 
 def alias_groups_of(reply: Column | str) -> Column:
     """Groups with a main name; the main name isn't one of its aliases, and groups without aliases go."""
-    v = F.try_parse_json(unfenced(reply))
+    v = parsed(unfenced(reply))
     groups = F.coalesce(F.try_variant_get(v, "$.groups", GROUP), F.try_variant_get(v, "$", GROUP), F.array().cast(GROUP))
     tidy = F.transform(
         F.filter(groups, lambda g: F.coalesce(F.trim(g["main"]), F.lit("")) != ""),
@@ -88,7 +121,7 @@ def alias_groups_of(reply: Column | str) -> Column:
 def persona_of(reply: Column | str) -> Column:
     """A persona increment of a reply; a lone string or object where a list belongs is a list of one. Null if it isn't
     an object."""
-    v = F.try_parse_json(unfenced(reply))
+    v = parsed(unfenced(reply))
     text = lambda k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")).alias(k)
     pairs = "array<struct<target:string,change:string>>"
     quotes = "array<struct<field:string,text:string,confidence:string>>"
@@ -108,14 +141,12 @@ def persona_of(reply: Column | str) -> Column:
 
 def cached_tokens(usage: Column) -> Column:
     """Cached prompt tokens of a usage object, whichever of the known places has them."""
-    v = F.try_parse_json(usage)
+    v = parsed(usage)
     paths = ("$.prompt_tokens_details.cached_tokens", "$.prompt_cache_hit_tokens", "$.cache_read_input_tokens")
     return F.coalesce(*(F.try_variant_get(v, p, "bigint") for p in paths), F.lit(0))
 
 
 def names_stub(prompt: str) -> dict:
     """A deterministic stand-in for tests: the capitalised words of a prompt as JSON."""
-    import re
-
-    found = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", prompt)))
+    found = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", prompt, re.ASCII)))
     return {"content": json.dumps({"characters": found}), "prompt_tokens": len(prompt) // 4, "completion_tokens": len(found)}

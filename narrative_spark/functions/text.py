@@ -14,7 +14,23 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, U+3000 included."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(rules.WHITE))
+
+
+def unicode_spaces(pattern: str) -> str:
+    """A pattern whose ``\\s`` stands for white space of all scripts, inside character classes and outside."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            token = pattern[k : k + 2]
+            out.append((rules.SPACE if inside else f"[{rules.SPACE}]") if token == r"\s" else token)
+            k += 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out.append(c)
+        k += 1
+    return "".join(out)
 
 
 def unix_newlines(c: Column | str) -> Column:
@@ -31,7 +47,7 @@ def is_ad_line(line: Column | str, patterns: tuple[str, ...] = rules.AD_PATTERNS
 
 def clean_text(text: Column | str, patterns: tuple[str, ...] = rules.AD_PATTERNS) -> Column:
     """Lines without trailing space and without added lines; one blank line at most between others; idempotent."""
-    lines = F.transform(F.split(unix_newlines(text), "\n", -1), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    lines = F.transform(F.split(unix_newlines(text), "\n", -1), lambda x: F.rtrim(x, F.lit(rules.WHITE)))
     kept = F.filter(lines, lambda x: ~is_ad_line(x, patterns))
     return strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
 
@@ -101,7 +117,7 @@ def content_id(prefix: str, *parts: Column | str) -> Column:
 
 def for_matching(c: Column | str) -> Column:
     """Text without white space and punctuation, for comparing quotes."""
-    return F.regexp_replace(F.coalesce(col(c), F.lit("")), rules.IGNORED_IN_QUOTES, "")
+    return F.regexp_replace(F.coalesce(col(c), F.lit("")), unicode_spaces(rules.IGNORED_IN_QUOTES), "")
 
 
 def grounded(quote: Column, source: Column) -> Column:
@@ -140,5 +156,10 @@ def preview(c: Column | str, length: int = 40) -> Column:
     return F.when(F.length(c) > length, F.concat(F.substring(c, 1, length), F.lit("…"))).otherwise(c)
 
 
+def iso_timestamp(c: Column | str) -> Column:
+    """A time to the second with its offset, in the session's zone."""
+    return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
 def clean_name(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(" \t\r\n　\"'“”‘’《》〈〉「」『』【】()（）[]"))

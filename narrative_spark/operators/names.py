@@ -57,21 +57,34 @@ def rank(found: DataFrame, top: int = 15) -> DataFrame:
 def contexts(names: DataFrame, chapters: DataFrame, limit: int = 3, cut: Column | None = None) -> DataFrame:
     """``(book_id, name, k, sentence)``: the first sentences with a name, in chapter order.
 
-    A chapter is read once for all names of its book: sentences are exploded, then joined on the book.
+    A book's few names come beside its chapters as an array; a sentence leaves its chapter only with the names it holds.
     """
     cut = T.sentences("content") if cut is None else cut
-    said = chapters.select("book_id", "chapter_index", F.posexplode(cut).alias("pos", "sentence"))
-    held = said.join(names.select("book_id", "name").distinct(), "book_id").where(F.contains("sentence", F.col("name")))
+    listed = names.groupBy("book_id").agg(F.collect_set("name").alias("listed"))
+    said = chapters.join(listed, "book_id").select("book_id", "chapter_index", "listed", F.posexplode(cut).alias("pos", "sentence"))
+    held = said.withColumn("name", F.explode(F.filter("listed", lambda n: F.contains("sentence", n))))
     k = F.row_number().over(W.partitionBy("book_id", "name").orderBy("chapter_index", "pos"))
     return held.withColumn("k", k).where(F.col("k") <= limit).select("book_id", "name", "k", "sentence")
 
 
-def source_forms(names: DataFrame, books: DataFrame) -> DataFrame:
-    """``(book_id, name, form)``: the spelling that the text has: the name, its traditional or its simplified form."""
-    forms = names.select("book_id", "name", T.traditional("name").alias("t"), T.simplified("name").alias("s"))
-    joined = forms.join(books.select("book_id", "text"), "book_id")
-    has = lambda c: F.contains("text", F.col(c))
-    return joined.select("book_id", "name", F.when(has("name"), F.col("name")).when(has("t"), F.col("t")).when(has("s"), F.col("s")).otherwise(F.col("name")).alias("form"))
+def source_forms(names: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``(book_id, name, form)``: the spelling that the book has: the name, its traditional or its simplified form.
+
+    Names are held against one chapter at a time, and what chapters hold is put together by name: no book is gathered.
+    """
+    each = names.select("book_id", "name").distinct().select("book_id", F.struct("name", T.traditional("name").alias("t"), T.simplified("name").alias("s")).alias("n"))
+    listed = each.groupBy("book_id").agg(F.collect_list("n").alias("listed"))
+    has = F.transform("listed", lambda n: F.struct(n["name"].alias("name"), *(F.contains("content", n[c]).alias(f"has_{c}") for c in ("name", "t", "s"))))
+    held = chapters.join(listed, "book_id").select("book_id", F.explode(F.filter(has, lambda x: x["has_name"] | x["has_t"] | x["has_s"])).alias("x"))
+    flags = held.groupBy("book_id", F.col("x.name").alias("name")).agg(*(F.max(F.col(f"x.has_{c}").cast("int")).alias(c + "_") for c in ("name", "t", "s")))
+    known = each.select("book_id", "n.*").join(flags, ["book_id", "name"], "left")
+    has = lambda c: F.col(c + "_") == 1
+    return known.select("book_id", "name", F.when(has("name"), F.col("name")).when(has("t"), F.col("t")).when(has("s"), F.col("s")).otherwise(F.col("name")).alias("form"))
+
+
+def renamed(forms: DataFrame) -> DataFrame:
+    """The names whose spelling the source changed, with that spelling."""
+    return forms.where("name <> form")
 
 
 def normalised(found: DataFrame, forms: DataFrame) -> DataFrame:
@@ -81,4 +94,4 @@ def normalised(found: DataFrame, forms: DataFrame) -> DataFrame:
 
 def context_lines(quotes: Column) -> Column:
     marks = F.array(*map(F.lit, ("①", "②", "③")))
-    return F.array_join(F.transform(F.slice(quotes, 1, 3), lambda q, i: F.concat(F.element_at(marks, i + 1), q)), " ")
+    return F.array_join(F.transform(F.slice(quotes, 1, 3), lambda q, i: F.concat(F.element_at(marks, i + 1), q)), "")

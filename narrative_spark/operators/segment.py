@@ -51,9 +51,10 @@ def by_separators(books: DataFrame, longest: int = rules.SEPARATOR_TITLE_LENGTH,
     flat = flat.withColumn("above", last)
     titled = F.col("sep") & F.col("above").isNotNull() & ~F.col("above.sep") & (F.length("above.line") <= longest)
     flat = flat.withColumn("title", F.when(titled, F.col("above.line"))).withColumn("title_line", F.when(titled, F.col("above.line_no")))
-    # a title line belongs to the separator below it: it ends the segment before
-    below = in_order.rowsBetween(1, W.unboundedFollowing)
-    next_title = F.first(F.when(F.col("sep"), F.struct("title_line")), ignorenulls=True).over(below)
+    # a title line belongs to the separator below it: it ends the segment before. From the last line up, the frame grows
+    # by a line at a time, where one that ends below would be read again for each line
+    below = W.partitionBy("book_id").orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, -1)
+    next_title = F.last(F.when(F.col("sep"), F.struct("title_line")), ignorenulls=True).over(below)
     flat = flat.withColumn("seg", F.sum(F.col("sep").cast("int")).over(in_order)).withColumn("next", next_title["title_line"])
     body = F.when(~F.col("sep") & (F.col("next").isNull() | (F.col("line_no") < F.col("next"))), F.struct("line_no", "line"))
     segments = flat.groupBy("book_id", "seg").agg(F.max("title").alias("title"), _joined(body).alias("content"), F.max("sep").alias("has"))
@@ -76,42 +77,91 @@ def by_length(books: DataFrame, length: int = rules.FALLBACK_LENGTH) -> DataFram
     return pieces.select("book_id", "chapter_index", F.concat(F.lit("第"), (F.col("chapter_index") + 1).cast("string"), F.lit("节")).alias("title"), "content")
 
 
+def _separated(lines: Column, longest: int = rules.SEPARATOR_TITLE_LENGTH, preface: int = rules.SEPARATOR_PREFACE) -> Column:
+    """How many chapters :func:`by_separators` would make of an array of stripped lines, in one pass over it.
+
+    A part between separators has text if a line is left once the title of the next part is taken from its end.
+    """
+    first = F.array_position(F.transform(lines, lambda x: T.is_separator(x)), F.lit(True))
+    state = F.struct(F.lit(0).alias("done"), F.lit(0).alias("held"), F.lit(0).alias("last"))
+
+    def add(acc: Column, line: Column) -> Column:
+        sep = T.is_separator(line)
+        full = (acc["held"] > 1) | ((acc["held"] == 1) & (acc["last"] > longest))
+        return F.struct(
+            F.when(sep & full, acc["done"] + 1).otherwise(acc["done"]).alias("done"),
+            F.when(sep, 0).when(line != "", acc["held"] + 1).otherwise(acc["held"]).alias("held"),
+            F.when(line != "", F.length(line)).otherwise(acc["last"]).alias("last"),
+        )
+
+    rest = F.slice(lines, first.cast("int") + 1, F.greatest(F.lit(0), F.size(lines) - first.cast("int")))
+    parts = F.aggregate(rest, state, add, lambda acc: acc["done"] + F.when(acc["held"] > 0, 1).otherwise(0))
+    head = T.strip(F.array_join(F.slice(lines, 1, first.cast("int") - 1), "\n"))
+    title = F.element_at(F.split(head, "\n", -1), -1)
+    body = F.when(F.length(title) <= longest, T.strip(F.substring(head, F.lit(1), F.length(head) - F.length(title)))).otherwise(head)
+    return F.when(first == 0, 0).otherwise(parts + F.when(F.length(body) >= preface, 1).otherwise(0))
+
+
 def marker_counts(books: DataFrame) -> DataFrame:
-    """``(book_id, headings, separators, plan)`` without exploding: the plan that a book's markers call for."""
-    ls = F.split("text", "\n", -1)
-    heads = F.size(F.filter(ls, lambda x: T.chapter_title(x).isNotNull()))
-    seps = F.size(F.filter(ls, lambda x: T.is_separator(x)))
-    return books.select("book_id", heads.alias("headings"), seps.alias("separators")).withColumn(
-        "plan",
-        F.when((F.col("headings") > 0) & (F.col("separators") <= 2 * F.col("headings")), "headings").when(F.col("separators") > 0, "separators").otherwise("length"),
-    )
+    """``(book_id, headings, separators, segments, plan)``: the plan that a book's markers call for, from its own row.
+
+    Separators win if they make over twice as many chapters as there are headings, or any where there is no heading.
+    Headings that leave all chapters empty don't count: such a book is cut by length.
+    """
+    return books.select("book_id", *_plan(F.col("text")))
+
+
+def _plan(text: Column) -> list[Column]:
+    stripped = F.transform(F.split(text, "\n", -1), T.strip)
+    heads = F.size(F.filter(stripped, lambda x: T.chapter_title(x).isNotNull()))
+    seps = F.size(F.filter(stripped, lambda x: T.is_separator(x)))
+    # so many separators make a chapter more at most: others needn't be cut to be counted
+    segments = F.when((seps > 0) & (seps + 1 > 2 * heads), _separated(stripped)).otherwise(0)
+    first = F.array_position(F.transform(stripped, lambda x: T.chapter_title(x).isNotNull()), F.lit(True)).cast("int")
+    preface = T.strip(F.array_join(F.slice(stripped, 1, F.greatest(F.lit(0), first - 1)), "\n"))
+    said = F.exists(F.slice(stripped, F.greatest(F.lit(1), first), F.size(stripped)), lambda x: (x != "") & T.chapter_title(x).isNull())
+    headed = (heads > 0) & (said | (F.length(preface) >= rules.HEADING_PREFACE))
+    plan = F.when((segments > 0) & (segments > 2 * heads), "separators").when(headed, "headings").otherwise("length")
+    return [heads.alias("headings"), seps.alias("separators"), segments.alias("segments"), plan.alias("plan")]
 
 
 def segment(books: DataFrame, length: int = rules.FALLBACK_LENGTH) -> DataFrame:
-    """Chapters by the plan of each book: separators if over twice the headings, else headings, else fixed lengths."""
-    planned = books.join(marker_counts(books).select("book_id", "plan"), "book_id")
+    """Chapters by the plan of each book, which is a column of its row: separators, headings, or else fixed lengths."""
+    planned = books.select("book_id", "text", _plan(F.col("text"))[-1])
     pick = lambda p: planned.where(F.col("plan") == p).select("book_id", "text")
     return by_headings(pick("headings")).unionByName(by_separators(pick("separators"))).unionByName(by_length(pick("length"), length))
 
 
 def split_long(chapters: DataFrame, longest: int = rules.CHAPTER_LENGTH) -> DataFrame:
-    """Chapters over ``longest`` in parts titled ``title（i/n）``, all renumbered; others keep their content as it is."""
+    """Chapters over ``longest`` in parts titled ``title（i/n）``, all renumbered; others keep their content as it is.
+
+    Numbers are running sums of the chapters' counts of parts, joined back by chapter: no text is sorted.
+    """
     parts = F.when(F.length("content") > longest, T.chunks("content", longest)).otherwise(F.array("content"))
-    cut = chapters.withColumn("parts", parts).select("book_id", "chapter_index", "title", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "content"))
+    cut = chapters.select("book_id", "chapter_index", "title", parts.alias("parts"))
+    before = W.partitionBy("book_id").orderBy("chapter_index").rowsBetween(W.unboundedPreceding, -1)
+    counts = cut.select("book_id", "chapter_index", F.size("parts").alias("n"))
+    bases = counts.select("book_id", "chapter_index", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("base"))
+    each = cut.join(bases, ["book_id", "chapter_index"]).select("book_id", "title", "base", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "content"))
     title = F.when(F.col("n") > 1, F.concat("title", F.lit("（"), (F.col("part") + 1).cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit("）"))).otherwise(F.col("title"))
-    return renumbered(cut.withColumn("title", title), "chapter_index", "part")
+    return each.select("book_id", (F.col("base") + F.col("part")).alias("chapter_index"), title.alias("title"), "content")
+
+
+def blocks(content: Column | str, title: Column | str, keep_title: bool = True, longest: int = 1200) -> Column:
+    """The paragraphs of a chapter, without lines that repeat its title unless those are kept."""
+    found = T.paragraphs(content, longest)
+    if keep_title:
+        return found
+    own = T.strip(F.coalesce(T.col(title), F.lit("")))
+    drop = lambda b: T.strip(F.array_join(F.filter(F.split(b, "\n"), lambda x: T.strip(x) != own), "\n"))
+    return F.filter(F.transform(found, drop), lambda x: x != "")
 
 
 def passages(chapters: DataFrame, names: list[str], keep_title: bool = True, longest: int = 1200) -> DataFrame:
     """``(book_id, chapter_index, pos, passage)``: the paragraphs that hold one of the names, in order; no names, none."""
-    wanted = [n for n in names if n]
-    blocks = T.paragraphs("content", longest)
-    if not keep_title:
-        drop = lambda b: T.strip(F.array_join(F.filter(F.split(b, "\n"), lambda x: T.strip(x) != T.strip("title")), "\n"))
-        blocks = F.filter(F.transform(blocks, drop), lambda x: x != "")
     held = F.lit(False)
-    exploded = chapters.select("book_id", "chapter_index", F.posexplode(blocks).alias("pos", "passage"))
-    for n in wanted:
+    exploded = chapters.select("book_id", "chapter_index", F.posexplode(blocks("content", "title", keep_title, longest)).alias("pos", "passage"))
+    for n in filter(None, names):
         held = held | F.contains("passage", F.lit(n))
     return exploded.where(held)
 

@@ -1,7 +1,12 @@
-"""Rule packs as data. Patterns are in Java's dialect; ``(?U)`` makes ``\\s`` cover U+3000."""
+"""Rule packs as data. Patterns are in Java's dialect."""
 
 from __future__ import annotations
 
+#: White space of all scripts: for trimming, and as a part of a character class. Java's ``\\s`` is ASCII alone, and its
+#: Unicode mode is slow.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Headings.
 NUMERALS = "0-9０-９一二三四五六七八九十百千万零两"
 UNITS = "章节回篇卷集幕"
@@ -11,7 +16,7 @@ SPECIAL_TITLES = ("序章", "序言", "引子", "楔子", "前言", "后记", "
 SPECIAL_SUFFIX = 6
 FALSE_FRIENDS = ("最后", "下一", "上一", "这一", "第一时")
 TITLE_PUNCTUATION = "[。！？；!?;]"
-NUMBERED_HEADING = rf"(?U)^第\s*[{NUMERALS}]+\s*[{UNITS}](?:[ \t　]*[:：、.．·]?[ \t　]*)(.{{0,{TITLE_LENGTH}}})$"
+NUMBERED_HEADING = rf"^第[{SPACE}]*[{NUMERALS}]+[{SPACE}]*[{UNITS}](?:[ \t　]*[:：、.．·]?[ \t　]*)(.{{0,{TITLE_LENGTH}}})$"
 SPECIAL_HEADING = rf"^(?:{'|'.join(SPECIAL_TITLES)})(?![{UNITS}])[ \t　]*[:：、.．·]?[ \t　]*(.{{0,{TITLE_LENGTH}}})$"
 SEPARATOR_LINE = r"^[\-—–_=]{4,}$"
 SEPARATOR_TITLE_LENGTH = 24
@@ -47,6 +52,7 @@ KINSHIP = (
     "女婿", "媳婦", "祖父", "祖母", "爺爺", "奶奶", "外祖", "叔父", "伯父", "舅舅",
 )
 COPULAS = ("叫做", "叫作", "名叫", "名喚", "名唤", "喚做", "唤做", "表字", "乃是", "就是", "即是", "便是", "名", "字")
+CLAUSE_END = "[\\n。！？；]"
 STRONG_MARKERS = (
     "不是別人，正是", "不是别人，正是", "不是別人正是", "不是别人正是",
     "並非別人，而是", "并非别人，而是",
@@ -82,7 +88,15 @@ CLICHES = (
     "性格复杂", "内心矛盾", "很有魅力", "多面性", "多面的", "复杂多面", "深不可测", "神秘莫测",
     "独一无二", "与众不同", "有着复杂的内心", "既有温柔的一面也有冷漠的一面",
 )
-IGNORED_IN_QUOTES = r"(?U)[\s，。、；：？！“”‘’（）《》〈〉「」『』…—·,.;:?!\"'()\[\]<>~-]+"
+IGNORED_IN_QUOTES = r"[\s，。、；：？！“”‘’（）《》〈〉「」『』…—·,.;:?!\"'()\[\]<>~-]+"
+SUMMARY_FIELD = "- %s：%s"
+SUMMARY_RELATION = "- 与「%s」：%s"
+SUMMARY_OMITTED = "- （另有 %d 条较早的关系变化已省略）"
+SUMMARY_CHANGE = "- 变化（%s）：%s → %s"
+SUMMARY_EMPTY = "（无，这是首次抽取）"
+CONFLICT_REASON = "第 %d 章的表述与已有画像不同，按 §7 保留较晚的并记录演化"
+LENGTH_ITEM = "%s: %d 字（要求 %d–%d）"
+EVIDENCE_FORCED, EVIDENCE_HINTS = "【强证据】（原文直接陈述身份，必须合并）", "【待核实】（弱标记，可能只是修辞，请结合上下文判断）"
 BOOK_ID_TRIM = "《》〈〉「」『』【】[]()（）\"'“”‘’ 　._-—·"
 BOOK_ID_LENGTH = 60
 CONTEXT_MARKS = ("①", "②", "③")

@@ -12,7 +12,7 @@ def apply(spark, function, inputs):
 
 
 ADS = ["请记住本站域名", "最新章节免费阅读", "　　加入书签", "手机用户请访问", "下一章", "求月票", "推荐票", "求 收藏", "（本章完）", "https://a.b/c", "未完待续"]
-PROSE = ["他把书签夹回了第一百页", "上一章写到的那把剑", "月票这两个字，他只在信里写过一次。", "本章完结的时候", "他说 www.a.b 是个网站", "订阅了一份报纸", "他掏出手机。", "返回目录学的书"]
+PROSE = ["一枚书签落在了地上", "上一章乐曲刚停", "卖月票的窗口关了", "本章完全不提此事", "墙上刷着 www.a.b 几个字", "订阅晚报的人少了", "她的手机响了两声", "返回目录室取书"]
 
 
 def test_ad_lines(spark):
@@ -75,7 +75,7 @@ def test_paragraphs(spark):
 def test_small_functions(spark):
     assert apply(spark, T.display_width, ["ab", "趙x", ""]) == [2, 3, 0]
     assert apply(spark, T.simplified, ["趙學a"]) == ["赵学a"]
-    assert apply(spark, T.for_matching, ["「沈知舟 立在廊下。」", None]) == ["沈知舟立在廊下", ""]
+    assert apply(spark, T.for_matching, ["「顾南舟 收起伞。」", None]) == ["顾南舟收起伞", ""]
     assert apply(spark, T.quote_field, ["desire@ch3", "flaw"]) == ["desire", "flaw"]
     assert apply(spark, T.clean_name, ["「 趙白」", "'x'"]) == ["趙白", "x"]
     assert apply(spark, lambda c: T.book_id(c, F.lit("z")), ["/a/《名》.txt", "b/x y:z.txt", "/c/《》.txt"])[:2] == ["名", "x_y_z"]
@@ -99,12 +99,38 @@ def test_segment_plans(spark):
     headed = "\n".join(["书名", *(x for k in range(1, 4) for x in (f"第{k}章 题{k}", f"正文{k}。" * 3))])
     separated = "\n".join(x for k in range(6) for x in (f"题{k}", "-----", f"文{k}。"))
     rows = [("a", headed), ("b", separated), ("c", "没有标记。" * 10), ("d", headed + "\n-----\n尾")]
+    rows += [("e", "第一章 空\n\n第二章 也空\n  \n第三章 还空"), ("f", "短序\n第一章\n第二章"), ("g", "长" * 200 + "\n第一章\n")]
+    # many separators, but hardly a chapter between them: headings stay
+    rows += [("h", "第一章 甲\n文\n" + "-----\n" * 9 + "末\n第二章 乙\n文")]
     plans = {r.book_id: r.plan for r in segment.marker_counts(books(spark, rows)).collect()}
-    assert plans == {"a": "headings", "b": "separators", "c": "length", "d": "headings"}
+    assert plans == {"a": "headings", "b": "separators", "c": "length", "d": "headings", "e": "length", "f": "length", "g": "headings", "h": "headings"}
     got = listed(segment.segment(books(spark, rows), 20))
     assert [r[1:] for r in got if r[0] == "a"] == [(k - 1, f"第{k}章 题{k}", f"正文{k}。" * 3) for k in range(1, 4)]
     assert [r[1:] for r in got if r[0] == "b"] == [(k, f"题{k}", f"文{k}。") for k in range(6)]
     assert [len(r[3]) for r in got if r[0] == "c"] == [20, 20, 10]
+    assert [r[2] for r in got if r[0] == "f"] == ["第1节"] and [r[2] for r in got if r[0] == "g"] == ["（卷首）", "第一章"]
+
+
+def test_separator_chapters_are_counted_as_they_are_cut(spark):
+    import random
+
+    r, rows = random.Random(6), []
+    for k in range(150):
+        lines = [r.choice(("", "  ", "----", "====", "短", "长" * 30, "长" * 130)) for _ in range(r.randint(1, 14))]
+        rows.append((f"b{k:03}", "\n".join(lines)))
+    cut = {x.book_id: x.n for x in segment.by_separators(books(spark, rows)).groupBy("book_id").agg(F.count("*").alias("n")).collect()}
+    got = {x.book_id: x.segments for x in segment.marker_counts(books(spark, rows)).collect()}
+    assert got == {b: cut.get(b, 0) for b, _ in rows} and sum(got.values()) > 100
+
+
+def test_plans_move_no_text_they_needn_t(spark):
+    """The number of a part comes from counts: no window has a text in it, and a book's plan needs no join."""
+    chapters = spark.createDataFrame([("a", 0, "T", "x")], "book_id string, chapter_index int, title string, content string")
+    plan = segment.split_long(chapters, 20)._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.split("\n") if "Window" in line)
+    assert "content" not in window and "row_number" not in plan
+    whole = segment.segment(books(spark, [("a", "x")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in whole
 
 
 def test_preface(spark):
@@ -123,3 +149,10 @@ def test_passages(spark):
     rows = spark.createDataFrame([("a", 0, "T", "T\n甲在\n\n乙在\n\n无")], "book_id string, chapter_index int, title string, content string")
     assert [r.passage for r in segment.passages(rows, ["甲", "乙", ""], keep_title=False).orderBy("pos").collect()] == ["甲在", "乙在"]
     assert segment.passages(rows, []).count() == 0
+
+
+def test_white_space_of_all_scripts(spark):
+    odd = "\u3000\u2003\x85 x\u00a0y\u2028"
+    assert apply(spark, T.strip, [odd, " ", None]) == ["x\u00a0y", "", None]
+    assert T.unicode_spaces(r"a\s[^\s。]\d") == f"a[{rules.SPACE}][^{rules.SPACE}。]\\d"
+    assert apply(spark, T.iso_timestamp, ["2024-03-01 10:20:30.5"]) == ["2024-03-01T10:20:30+00:00"]
