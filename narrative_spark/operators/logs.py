@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """Rows to add to the memory log: an entry without an id gets one of its content; one without a character is an error."""
+    given = F.nullif(F.col("id"), F.lit("")) if "id" in rows.columns else F.lit(None).cast("string")
+    source = F.col("source") if "source" in rows.columns else F.lit("book")
+    who = F.when(F.coalesce(F.col("character_id").cast("string"), F.lit("")) != "", F.col("character_id")).otherwise(F.raise_error(F.lit("a memory entry without a character")))
+    return rows.withColumns({"character_id": who, "id": F.coalesce(given, T.content_id("mem_", F.col("character_id").cast("string"), "content", source))})
+
 
 def memory(log: DataFrame) -> DataFrame:
     """The state of ``(character_id, id, seq, content)``: the last content of an id, at the place of its first.
