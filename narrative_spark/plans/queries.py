@@ -457,8 +457,8 @@ def q23_short_forms(spark, sf_dir):
 
 @query()
 def q50_merged_groups(spark, sf_dir):
-    """The model's groups, here the first two names of documents, merged by the evidence of the texts; in an order that
-    SQL can't follow, so a test holds it against a plain loop."""
+    """Groups as a model might tell them, of the frequent names of each source, merged by the evidence of the texts. The
+    outcome depends on an order that SQL can't follow; tests hold the merging against worked cases."""
     people = _names(spark, sf_dir)
     proofs = aliases.evidence(aliases.marker_matches(_texts(spark, sf_dir), people), _barred(spark, sf_dir)).where("tier = 'forced'")
     a, b = (people.where(F.col("pos") % 5 == k).select("book_id", F.floor(F.col("pos") / 5).alias("pos"), F.col("name").alias(c)) for k, c in ((0, "main"), (1, "alias")))
