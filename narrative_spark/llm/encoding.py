@@ -29,6 +29,10 @@ SETTINGS = {
 }
 #: Below it no character changes under NFC, and lower-casing a letter doesn't depend on its neighbours.
 LATIN_END = "\u0130"
+#: Marks that often end a word, and are parts of their own behind it.
+MARKS = ".,;:!?"
+#: New words of a line that goes to the library as one text, and lines of one batch.
+LINE, LINES = 512, 16
 #: Entries of a memo of words, and of the memos of byte-level pieces, which repeat less.
 MEMO_ENTRIES, BYTE_MEMO_ENTRIES = 300_000, 700_000
 MEMO_KEY = 96
@@ -180,6 +184,14 @@ class Encoder:
         return None
 
 
+def plain_word(text: str) -> tuple[str, str] | None:
+    """A word of letters and the mark behind it, if a text is just that and the letters are plain ones."""
+    word, mark = (text, "") if text.isalpha() else (text[:-1], text[-1:])
+    if (not mark or mark in MARKS and word.isalpha()) and (word.isascii() or max(word) < LATIN_END):
+        return word, mark
+    return None
+
+
 class WordEncoder(Encoder):
     """For vocabularies that drop white space: pieces are the runs between ASCII white space.
 
@@ -191,11 +203,39 @@ class WordEncoder(Encoder):
     def _normal(self, text: str) -> str:
         return text.lower()
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+        import numpy as np
+
         super().__init__(path)
-        self.memo = _Memo(self._ask, self.ENTRIES)
+        self.memo = _Memo(self._ask, entries)
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(self.library.get_vocab_size() + 1, dtype=bool)  # tokens that end a word
+        self.last[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of new plain words, each one part to the pre-tokenizer, from batches of lines of words."""
+        import numpy as np
+
+        found = {}
+        for at in range(0, len(words), LINE * LINES):
+            lines = [words[k : k + LINE] for k in range(at, min(at + LINE * LINES, len(words)), LINE)]
+            for line, one in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+                ids = np.asarray(one.ids, dtype="<u4")
+                cuts, data = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()], ids.tobytes()
+                if len(cuts) == len(line) + 1:
+                    found.update(zip(line, (data[a:b] for a, b in zip(cuts, cuts[1:]))))
+                else:  # no such line is known; word by word is always right
+                    found.update((w, self._part(w)) for w in line)
+        return found
+
+    def fresh(self, pieces) -> dict[bytes, bytes]:
+        """The ids of new pieces: plain words in batches of lines, others as they are."""
+        split = {p: (self._normal(x[0]), x[1]) for p in pieces if (x := plain_word(p.decode("utf-8")))}
+        words = self.learn(list({w for w, _ in split.values()}))
+        found = {p: words[w] + self.parts[mark] if mark else words[w] for p, (w, mark) in split.items()}
+        return found | {p: self._ask(p) for p in pieces if p not in split}
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def encode(self, texts) -> Iterator[bytes]:
         get = self.memo.__getitem__
         for text in texts:
             yield b"".join(map(get, text.split()))

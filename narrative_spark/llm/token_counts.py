@@ -8,12 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import MEMO_ENTRIES, MEMO_KEY, by_bytes, cut_here, encoder, library, safe_pieces, tokenizer_path
+from .encoding import MEMO_KEY, WordEncoder, by_bytes, cut_here, encoder, safe_pieces, tokenizer_path
 from .runtime import bounded_arrow
 
 BATCH_BYTES = 4 << 20
-#: Pieces that one call of the library encodes.
-CALL = 4096
+#: Entries of the memo of lengths.
+ENTRIES = 600_000
 _LOADED: dict[str, "PieceCounts | TextCounts"] = {}
 
 
@@ -24,15 +24,11 @@ class PieceCounts:
     lengths are kept. The memo of lengths is bounded; once it is full, other pieces are encoded once a batch.
     """
 
-    def __init__(self, path: str, most: int = MEMO_ENTRIES):
-        self.library, self.known, self.most = library(path), {}, most
+    def __init__(self, name: str, most: int = ENTRIES):
+        self.encoder, self.known, self.most = WordEncoder(tokenizer_path(name), 0), {}, most
 
-    def lengths(self, fresh: list[bytes]) -> dict[bytes, int]:
-        found = {}
-        for at in range(0, len(fresh), CALL):
-            part = fresh[at : at + CALL]
-            found.update(zip(part, map(len, self.library.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False))))
-        return found
+    def lengths(self, fresh: set[bytes]) -> dict[bytes, int]:
+        return {p: len(ids) // 4 for p, ids in self.encoder.fresh(fresh).items()}
 
     def count(self, texts: list[bytes], batch_bytes: int) -> list[int]:
         """Tokens of each text. Longer texts are split at white space, so that no batch holds much more than
@@ -46,13 +42,15 @@ class PieceCounts:
         for start, end in by_bytes(list(map(len, parts)), batch_bytes):
             split = [p.split() for p in parts[start:end]]
             met = set().union(*split)
-            found = self.lengths([p for p in met if p not in self.known])
-            room = self.most - len(self.known)
-            if len(found) <= room:
-                self.known.update((p, n) for p, n in found.items() if len(p) <= MEMO_KEY)
-                table = self.known if all(len(p) <= MEMO_KEY for p in found) else {**self.known, **found}
+            found = self.lengths({p for p in met if p not in self.known})
+            short = {p: n for p, n in found.items() if len(p) <= MEMO_KEY}
+            if len(self.known) + len(short) <= self.most:
+                self.known.update(short)
+                table = self.known if len(short) == len(found) else self.known | found
             else:
                 table = {p: self.known[p] for p in met if p in self.known} | found
+                for p in list(short)[: max(0, self.most - len(self.known))]:
+                    self.known[p] = short[p]
             for k, pieces in zip(owners[start:end], split):
                 counts[k] += sum(map(table.__getitem__, pieces))
         return counts
@@ -72,7 +70,7 @@ def counter(name: str) -> "PieceCounts | TextCounts":
     """The counter of this Python process."""
     if name not in _LOADED:
         path = tokenizer_path(name)
-        _LOADED[name] = PieceCounts(path) if cut_here("word", path) else TextCounts(name)
+        _LOADED[name] = PieceCounts(name) if cut_here("word", path) else TextCounts(name)
     return _LOADED[name]
 
 
