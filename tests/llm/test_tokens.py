@@ -42,6 +42,15 @@ def test_full_memo_changes_nothing():
     assert [len(x) // 4 for x in e.encode(t.encode() for t in texts)] == [len(library(WORD_VOCABULARY)(t)) for t in texts]
 
 
+def test_words_of_a_line_are_told_apart(monkeypatch):
+    """New words go to the library as lines; each one's ids are those that it has alone."""
+    words = sorted({w for k in range(40) for w in prose(k, 60).split()} | {"été", "größe", "a", "ñandú", "straße", "ªº"})
+    e = encoding.WordEncoder(encoding.tokenizer_path(WORD_VOCABULARY))
+    monkeypatch.setattr(e, "_part", None)  # so that no word is asked for alone
+    got = e.learn(words)
+    assert len(got) == len(words) > 300 and all(np.frombuffer(ids, "<u4").tolist() == e.library.encode(w, add_special_tokens=False).ids for w, ids in got.items())
+
+
 def test_safe_pieces_keep_all_bytes():
     data = (prose(1, 500) + "x" * 400 + " " + prose(2, 50)).encode()
     pieces = list(encoding.safe_pieces(data, 100))
@@ -60,7 +69,7 @@ def test_counts(documents):
 
 def test_batches_are_balanced_by_bytes(monkeypatch):
     calls = []
-    c = token_counts.PieceCounts(encoding.tokenizer_path(WORD_VOCABULARY), most=50)
+    c = token_counts.PieceCounts(WORD_VOCABULARY, most=50)
     real = c.lengths
     monkeypatch.setattr(c, "lengths", lambda fresh: calls.append(fresh) or real(fresh))
     texts = [prose(k, 30).encode() for k in range(40)] + [prose(50, 3000).encode(), b"x" * 5000]
