@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import Scratch, bounded_arrow, stored
-from .shingles import copies_key, majority_bits, shingle_hashes, shingled, similar_pairs
+from .shingles import WIDE, copies_key, majority_bits, shingle_hashes, shingled, similar_pairs
 
 #: Fingerprints of a page, of a leaf of its tree, children of a node above, and pairs of nodes looked at together.
 PAGE = 4096
@@ -22,7 +22,7 @@ HOT = 1000
 
 
 def document_fingerprint(data: bytes, width: int) -> int:
-    return majority_bits(shingle_hashes(data, width))
+    return majority_bits(shingle_hashes(data, width)[None, :])[0]
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -411,8 +411,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 #: Bits in which fingerprints of near copies may differ: of sets of a similarity of 0.8, 9.7 of 64 do on average and over
 #: 15 in one case of fifty. ``LIKELY`` bits are those at which a pair has to meet in some order with ``RECALL``.
 REACH, LIKELY, RECALL = 15, 11, 0.97
-#: Bits of a bucket, at the least.
-LEAST_KEY = 8
+#: Bits of a bucket, at the least; and open pairs, as a multiple of the documents, from which they are checked by stages.
+LEAST_KEY, MANY = 8, 2
 
 
 def random_orders(n: int, seed: int = 7) -> list[tuple[list[int], int]]:
@@ -431,6 +431,8 @@ def random_orders(n: int, seed: int = 7) -> list[tuple[list[int], int]]:
     return [(r.sample(range(64), 64), key) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - chance)))]
 
 
+#: What the index is made of: the first 64 bits of a wide fingerprint, which lead, the others, the set's number, its group.
+INDEXED = ["fp", "w1", "w2", "w3", "node", "root"]
 PAIRS = "page boolean, rotation int, bucket int, number bigint, pattern bigint, mask bigint, root bigint, members binary, nodes binary, roots binary, u bigint, v bigint, apart int"
 
 
@@ -448,11 +450,17 @@ def _given_batch(pages: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in PAIRS.split(", ")])
 
 
-def close_pairs(a: GrayIndex, b: GrayIndex, distance: int) -> Iterator[tuple]:
+def close_pairs(a, b, distance: int) -> Iterator[tuple]:
+    """``(i, j, apart)`` of linked pairs of two tables of wide fingerprints, or within one: at most ``distance`` bits apart
+    in the first 64, and ``WIDE`` in all."""
     import numpy as np
 
-    for i, j in tree_pairs(a, b, distance):
-        yield i, j, np.bitwise_count(a.values[i] ^ b.values[j])
+    one = GrayIndex(a[0])
+    for i, j in tree_pairs(one, one if b is a else GrayIndex(b[0]), distance):
+        apart = sum(np.bitwise_count(x[i] ^ y[j]).astype(np.int64) for x, y in zip(a, b))
+        keep = apart <= WIDE
+        if keep.any():
+            yield i[keep], j[keep], apart[keep]
 
 
 def first_partners(distance: int):
@@ -461,23 +469,22 @@ def first_partners(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for _, _, (fp, node, _), _, _ in bucket_pages(batches):
-            index, n = GrayIndex(fp.view(np.uint64)), len(fp)
+        for _, _, (*bits, node, _), _, _ in bucket_pages(batches):
+            wide, n = [x.view(np.uint64) for x in bits], len(node)
             order = np.argsort(node, kind="stable")  # by node, the same document is the first one in all orders
             place = np.empty(n, dtype=np.int64)
             place[order] = np.arange(n)
-            node, values = node[order], index.values[order]
-            first, near = np.full(n, n, dtype=np.int64), np.full(n, 65 * n, dtype=np.int64)
-            for i, j, apart in close_pairs(index, index, distance):
+            node, wide_by_node = node[order], [x[order] for x in wide]
+            first, near = np.full(n, n, dtype=np.int64), np.full(n, 257 * n, dtype=np.int64)
+            for i, j, apart in close_pairs(wide, wide, distance):
                 i, j = place[i], place[j]
                 low, high = np.minimum(i, j), np.maximum(i, j)
                 np.minimum.at(first, high, low)
-                np.minimum.at(near, high, apart.astype(np.int64) * n + low)
+                np.minimum.at(near, high, apart * n + low)
             own = np.flatnonzero(first < n)
             if len(own):
-                pairs = np.unique(np.concatenate([np.stack([first[own], own]), np.stack([near[own] % n, own])], axis=1), axis=1)
-                u, v = pairs
-                yield _pair_batch(node[u], node[v], np.bitwise_count(values[u] ^ values[v]))
+                u, v = np.unique(np.concatenate([np.stack([first[own], own]), np.stack([near[own] % n, own])], axis=1), axis=1)
+                yield _pair_batch(node[u], node[v], sum(np.bitwise_count(x[u] ^ x[v]).astype(np.int64) for x in wide_by_node))
 
     return run
 
@@ -489,18 +496,17 @@ def open_pairs(distance: int):
         import numpy as np
 
         number, pages = 0, []
-        for rotation, bucket, (fp, node, root), give, pid in bucket_pages(batches):
-            values = fp.view(np.uint64)
+        for rotation, bucket, (*bits, node, root), give, pid in bucket_pages(batches):
+            wide = [x.view(np.uint64) for x in bits]
             if give:
                 number += 1
                 one = int(root[0]) if (root == root[0]).all() else None
-                pages.append((rotation, bucket, (pid << 32) + number, *shared_bits(values), one, values.tobytes(), node.tobytes(), root.tobytes()))
+                pages.append((rotation, bucket, (pid << 32) + number, *shared_bits(wide[0]), one, np.stack(wide).tobytes(), node.tobytes(), root.tobytes()))
             if len(pages) == 16:
                 yield _given_batch(pages)
                 pages = []
             if (root != root[0]).any():
-                index = GrayIndex(values)
-                yield from _apart(close_pairs(index, index, distance), (node, root), (node, root))
+                yield from _apart(close_pairs(wide, wide, distance), (node, root), (node, root))
         if pages:
             yield _given_batch(pages)
 
@@ -526,8 +532,8 @@ def open_cross(distance: int):
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 (fa, na, ra), (fb, nb, rb) = (tuple(np.frombuffer(x, np.int64) for x in half) for half in (row[:3], row[3:]))
-                found = close_pairs(GrayIndex(fa.view(np.uint64)), GrayIndex(fb.view(np.uint64)), distance)
-                for out in _apart(found, (na, ra), (nb, rb)):
+                wide = [list(f.view(np.uint64).reshape(4, -1)) for f in (fa, fb)]
+                for out in _apart(close_pairs(*wide, distance), (na, ra), (nb, rb)):
                     yield out.select(["u", "v", "apart"])
 
     return run
@@ -538,49 +544,53 @@ def _best(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """``(node, root)`` for the nodes that links join to others; ``nodes(node, fp, key)`` are distinct shingle sets.
+    """``(node, root)`` for the nodes that links join to others; ``nodes`` are distinct shingle sets, each
+    with its number, its wide fingerprint, and the id and text of a document that has it.
 
     Links are pairs of nodes whose fingerprints differ in ``REACH`` bits at most, that meet in a bucket of some order,
-    and whose whole sets have a Jaccard similarity of ``num / den`` or more. First each node is checked against two of
-    its partners in an order, then against the nearest of each other group, then all pairs that groups leave open, so
-    that members of a large group are not paired with each other.
+    whose wide fingerprints differ in ``shingles.WIDE`` bits at most, and whose whole sets have a Jaccard similarity of
+    ``num / den`` or more. First each node is checked against two of
+    its partners, then all pairs that the groups so found leave open, so that members of a large group are not paired
+    with each other. Where these are many, each node's nearest one of each other group comes first, and again.
     """
-    orders = random_orders(nodes.count())
+    n = nodes.count()
+    orders = random_orders(n)
 
     def met(roots: DataFrame | None, function) -> DataFrame:
-        rows = nodes.select("fp", "node")
-        rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots.select("node", F.col("root").alias("r")), "node", "left").select("fp", "node", F.coalesce("r", "node").alias("root"))
+        rows = nodes.select(*INDEXED[:-1])
+        if roots is None:
+            rows = rows.withColumn("root", F.col("node"))
+        else:
+            rows = rows.join(roots.select("node", F.col("root").alias("r")), "node", "left").select(*INDEXED[:-1], F.coalesce("r", "node").alias("root"))
         return scratch.store(ranked(rows, orders).mapInArrow(function, PAIRS), "copies-index")
 
     def checked(pairs: DataFrame) -> DataFrame:
         return scratch.store(similar_pairs(scratch.store(pairs, "copies-pairs"), nodes, docs, width, num, den, scratch), "copies-links")
 
-    def rooted(links: DataFrame) -> DataFrame:
-        return scratch.store(components(links), "copies-roots")
-
     found = met(None, first_partners(REACH)).select("u", "v", "apart")
-    first, nearest = found.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), _best(found, ["v"])
-    tried = scratch.store(first.unionByName(nearest).distinct(), "copies-tried")
+    tried = scratch.store(found.groupBy("v").agg(F.min("u").alias("u")).select("u", "v").unionByName(_best(found, ["v"])).distinct(), "copies-tried")
     links = checked(tried)
-    roots = rooted(links)
-    for nearest_only in (True, False):
+    roots = scratch.store(components(links), "copies-roots")
+    while True:
         found = met(roots, open_pairs(REACH))
         pages = found.where("page")
         different = F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
         crossed = with_pages(scratch.store(page_pairs(pages, REACH, different), "copies-pages"), pages, "members", "nodes", "roots")
         pairs = found.where("not page").select("u", "v", "apart").unionByName(crossed.mapInArrow(open_cross(REACH), "u bigint, v bigint, apart int")).distinct()
         left = scratch.store(pairs.join(tried, ["u", "v"], "left_anti"), "copies-open")
-        if left.isEmpty():
-            break
-        if nearest_only:
+        n_open = left.count()
+        if not n_open:
+            return roots
+        many = n_open > MANY * n
+        if many:  # the nearest of each other group first: that joins most of a large group
             root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
             sided = left.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").withColumns({f"{c}_root": F.coalesce(f"{c}_root", c) for c in "uv"})
-            left = _best(sided, ["u", "v_root"]).unionByName(_best(sided, ["v", "u_root"])).distinct()
-        more = checked(left.select("u", "v"))
+            left = scratch.store(_best(sided, ["u", "v_root"]).unionByName(_best(sided, ["v", "u_root"])).distinct(), "copies-nearest")
+        links = scratch.store(links.unionByName(checked(left.select("u", "v"))), "copies-links")
+        roots = scratch.store(components(links), "copies-roots")
+        if not many:
+            return roots
         tried = scratch.store(tried.unionByName(left.select("u", "v")), "copies-tried")
-        links = scratch.store(links.unionByName(more), "copies-links")
-        roots = rooted(links)
-    return roots
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -597,10 +607,11 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> Dat
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.store(shingled(docs, width), "copies-rows")
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_digest")
-        grouped = rows.groupBy("digest").agg(F.min(order).alias("least"), F.first("fp").alias("fp"))
+        bits = ["fp", "w1", "w2", "w3"]  # the same for equal sets
+        grouped = rows.groupBy("digest").agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in bits))
         # numbered once, as it is written
-        nodes = scratch.store(grouped.select(F.monotonically_increasing_id().alias("node"), "fp", "least"), "copies-nodes")
-        named = nodes.select("node", "fp", "least.doc_id", "least.text_digest")
+        nodes = scratch.store(grouped.select(F.monotonically_increasing_id().alias("node"), *bits, "least"), "copies-nodes")
+        named = nodes.select("node", *bits, "least.doc_id", "least.text_digest")
         roots = similar_groups(named, docs, width, num, den, scratch)
         of = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
         kept = scratch.store(of.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.text_digest"), "copies-kept")

@@ -15,6 +15,8 @@ from .sampling import held_out, sample_texts
 
 TOKEN = re.compile(r"[^\W\d_]+")
 SEGMENT = 128
+#: Chains of a segment at most that are trained on together.
+CHAINS = 2048
 #: Texts that a feature must stand in to be tested. As many features pass by chance as one in all the tests.
 LEAST_TEXTS = 4
 MEMO = 250_000
@@ -144,9 +146,9 @@ class ToxicityModel:
         chains, gold = [chains[k] for k in order], [gold[k] for k in order]
         lengths = np.array(list(map(len, chains)))
         inside = np.arange(SEGMENT)[None, :] < lengths[:, None]
-        grid, y = np.zeros(inside.shape, dtype=np.int64), np.zeros(inside.shape)
-        grid[inside] = np.concatenate([np.asarray(c) for c in chains])
-        y[inside] = np.concatenate([np.asarray(g, dtype=float) for g in gold])
+        grid, y = np.zeros(inside.shape, dtype=np.int32), np.zeros(inside.shape, dtype=np.int8)
+        grid[inside] = np.concatenate([np.asarray(c, dtype=np.int32) for c in chains])
+        y[inside] = np.concatenate([np.asarray(g, dtype=np.int8) for g in gold])
         names: dict[str, int] = {}
         common = Counter(f for w in types for f in token_features(w))
         links = [(t, names.setdefault(f, len(names))) for w, t in types.items() for f in token_features(w) if common[f] > 1 or f in seeds]
@@ -155,18 +157,22 @@ class ToxicityModel:
         trans[0, 0] = 1.0
         past, past_b, past_t = np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6)
         pairs = inside[:, 1:]
-        seen = np.array([[(((1 - y[:, :-1]) if p == 0 else y[:, :-1]) * ((1 - y[:, 1:]) if q == 0 else y[:, 1:]) * pairs).sum() for q in (0, 1)] for p in (0, 1)])
+        seen = np.array([[((y[:, :-1] == p) & (y[:, 1:] == q) & pairs).sum() for q in (0, 1)] for p in (0, 1)], dtype=float)
+        parts = [slice(at, at + CHAINS) for at in range(0, len(chains), CHAINS)]
         for _ in range(rounds):
             by_type = bias + np.bincount(rows, weights=theta[cols], minlength=len(types))
-            e = by_type[grid] * inside
-            f, b, _z = chain_marginals(e, trans, lengths)
-            p = sigmoid(f + b) * inside
-            # expected transitions: of neighbouring states given both messages
-            left, right = f[:, :-1], e[:, 1:] + b[:, 1:]
-            s = [[trans[i, j] + i * left + j * right for j in (0, 1)] for i in (0, 1)]
-            z = np.logaddexp(np.logaddexp(s[0][0], s[0][1]), np.logaddexp(s[1][0], s[1][1]))
-            expected = np.array([[(np.exp(s[i][j] - z) * pairs).sum() for j in (0, 1)] for i in (0, 1)])
-            g_type = np.bincount(grid[inside], weights=(y - p)[inside], minlength=len(types))
+            g_type, expected = np.zeros(len(types)), np.zeros((2, 2))
+            for part in parts:  # some chains at a time: the messages of all are never held together
+                here, own = inside[part], grid[part]
+                e = by_type[own] * here
+                f, b, _z = chain_marginals(e, trans, lengths[part])
+                p = sigmoid(f + b) * here
+                # expected transitions: of neighbouring states given both messages
+                left, right = f[:, :-1], e[:, 1:] + b[:, 1:]
+                s = [[trans[i, j] + i * left + j * right for j in (0, 1)] for i in (0, 1)]
+                z = np.logaddexp(np.logaddexp(s[0][0], s[0][1]), np.logaddexp(s[1][0], s[1][1]))
+                expected += np.array([[(np.exp(s[i][j] - z) * pairs[part]).sum() for j in (0, 1)] for i in (0, 1)])
+                g_type += np.bincount(own[here], weights=(y[part] - p)[here], minlength=len(types))
             g = np.bincount(cols, weights=g_type[rows], minlength=len(names)) - ridge * theta
             g_b, g_t = g_type.sum(), seen - expected
             past, past_b, past_t = past + g * g, past_b + g_b * g_b, past_t + g_t * g_t
