@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .components import components
 from .runtime import Scratch, bounded_arrow
 
 SEED = 42
@@ -98,6 +100,26 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_digest binary, digest binary, fp bigint, w1 bigint, w2 bigint, w3 bigint")
 
 
+#: Sets of a block: two blocks' sets and the pairs between them meet in one place.
+BLOCK = 128
+
+
+def blocked(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``pairs(u, v)`` with the pair of blocks ``(heap, a, b)`` that they lie in, and the nodes ``(heap, block, node)``.
+
+    Nodes that pairs connect make a heap; a heap is cut into blocks in the order of its nodes. So a set goes once to each
+    pair of blocks that needs it, not to each of its pairs.
+    """
+    roots = scratch.store(components(pairs), "copies-heaps")
+    nodes = roots.select("node", F.col("root").alias("heap")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("heap")).distinct())
+    place = F.row_number().over(W.partitionBy("heap").orderBy("node")) - 1
+    placed = scratch.store(nodes.select("heap", F.floor(place / BLOCK).cast("int").alias("block"), "node"), "copies-blocks")
+    for c, more in (("u", ["heap"]), ("v", [])):
+        pairs = pairs.join(placed.select(F.col("node").alias(c), *more, F.col("block").alias(f"{c}_block")), c)
+    keyed = pairs.select("heap", F.least("u_block", "v_block").alias("a"), F.greatest("u_block", "v_block").alias("b"), "u", "v")
+    return scratch.store(keyed, "copies-keyed"), placed
+
+
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Those of ``pairs(u, v)`` of ``nodes(node, doc_id, text_digest)`` whose texts have sets of shingles with a Jaccard
     similarity of ``num / den`` or more. Sets are made of the texts that a pair names, each once."""
@@ -109,24 +131,31 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: in
             found = [np.unique(shingle_hashes(t or b"", width)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "members"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(group: pa.Table) -> pa.Table:
         import numpy as np
 
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(den * shared >= num * (len(x) + len(y) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    asked = nodes.join(ids, "node").select("node", F.col("doc_id").alias("asked_id"), F.col("text_digest").alias("asked_text"))
+        kind = np.asarray(group["members"].is_null())
+        own, rows = group.filter(pa.array(~kind)), group.filter(pa.array(kind))
+        held = {n: np.frombuffer(m.as_buffer(), np.uint64) for n, m in zip(own["u"].to_pylist(), own["members"])}
+        keep = []
+        for u, v in zip(rows["u"].to_pylist(), rows["v"].to_pylist()):
+            x, y = held[u], held[v]
+            most = min(len(x), len(y))  # what they can share
+            if den * most < num * (len(x) + len(y) - most):
+                keep.append(False)
+                continue
+            both = np.sort(np.concatenate([x, y]), kind="stable")
+            shared = int((both[1:] == both[:-1]).sum())
+            keep.append(den * shared >= num * (len(x) + len(y) - shared))
+        return rows.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    keyed, placed = blocked(pairs, scratch)
+    asked = nodes.join(placed.select("node"), "node").select("node", F.col("doc_id").alias("asked_id"), F.col("text_digest").alias("asked_text"))
     asked = scratch.store(asked, "copies-asked")  # ids of near copies alone: a small side, so that no text is shuffled
     rows = docs.select("doc_id", copies_key("text").alias("text_digest"), F.col("text").cast("binary").alias("text"))
     some = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_digest") == F.col("asked_text"))).select("node", "text")
     found = scratch.store(some.mapInArrow(sets, "node bigint, members binary").dropDuplicates(["node"]), "copies-sets")
-    a, b = (found.select(F.col("node").alias(c), F.col("members").alias(f"{c}_members")) for c in "uv")
-    joined = pairs.join(a, "u").join(b, "v").select("u", "v", "u_members", "v_members")
-    return joined.mapInArrow(run, "u bigint, v bigint")
+    needed = keyed.select("heap", "a", "b", F.explode(F.array("u", "v")).alias("node")).distinct()
+    shipped = needed.join(found, "node").select("heap", "a", "b", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "members")
+    whole = shipped.unionByName(keyed.withColumn("members", F.lit(None).cast("binary")).select("heap", "a", "b", "u", "v", "members"))
+    return whole.groupBy("heap", "a", "b").applyInArrow(compare, "u bigint, v bigint")
