@@ -19,7 +19,7 @@ SEGMENT = 128
 CHAINS = 2048
 #: Texts that a feature must stand in to be tested. As many features pass by chance as one in all the tests.
 LEAST_TEXTS = 4
-MEMO = 250_000
+MEMO = 100_000
 
 
 def token_features(word: str) -> list[str]:
