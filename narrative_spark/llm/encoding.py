@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 from collections.abc import Iterator
 
 #: Pre-tokenization patterns of the two kinds of vocabulary files (fixed values of the formats).
@@ -33,8 +34,8 @@ LATIN_END = "\u0130"
 MARKS = ".,;:!?"
 #: New words of a line that goes to the library as one text, and lines of one batch.
 LINE, LINES = 512, 16
-#: Entries of a memo of words, and of the memos of byte-level pieces, which repeat less.
-MEMO_ENTRIES, BYTE_MEMO_ENTRIES = 300_000, 700_000
+#: Entries of a memo of words, of one of byte-level words, which repeat less, and of one of parts of other pieces.
+MEMO_ENTRIES, BYTE_MEMO_ENTRIES, PART_ENTRIES = 400_000, 1_000_000, 50_000
 MEMO_KEY = 96
 _LOADED: dict[tuple[str, str], "Encoder | WholeTexts | PieceModel"] = {}
 
@@ -142,7 +143,6 @@ class Encoder:
     """
 
     PATTERN = ""
-    ENTRIES = MEMO_ENTRIES
 
     def __init__(self, path: str):
         import regex
@@ -152,7 +152,7 @@ class Encoder:
         self.pattern = regex.compile(self.PATTERN)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_alphabet()
-        self.parts = _Memo(self._part, self.ENTRIES)
+        self.parts = _Memo(self._part, PART_ENTRIES)
 
     def _normal(self, text: str) -> str:
         return text
@@ -161,35 +161,23 @@ class Encoder:
         return _as_ids(self.library.encode(text, add_special_tokens=False).ids)
 
     def _part(self, part: str) -> bytes:
-        symbols = part if part.isascii() and part.isalnum() else "".join(self.letters[b] for b in part.encode("utf-8"))
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols))
+        symbols = part if part.isascii() and part.isalnum() else part.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _ask(self, piece: str | bytes) -> bytes:
-        text = piece if isinstance(piece, str) else piece.decode("utf-8")
-        if not text.isascii() and max(text) >= LATIN_END:
-            return self._whole(text)
-        known = self._plain(text)
-        if known is not None:
-            return known
-        if any(s in text for s in self.specials):
+    def _ask(self, text: str) -> bytes:
+        """The ids of any piece that isn't a plain word."""
+        if not text.isascii() and max(text) >= LATIN_END or any(s in text for s in self.specials):
             return self._whole(text)
         return b"".join(map(self.parts.__getitem__, self.pattern.findall(self._normal(text))))
 
-    def _plain(self, text: str) -> bytes | None:
-        """The ids of a word of letters, or of one with a mark behind it; None for any other piece."""
-        if text.isalpha():
-            return self.parts[self._normal(text)]
-        if text[:-1].isalpha() and text[-1] in ".,;:!?":
-            return self.parts[self._normal(text[:-1])] + self.parts[text[-1]]
-        return None
-
 
 def plain_word(text: str) -> tuple[str, str] | None:
     """A word of letters and the mark behind it, if a text is just that and the letters are plain ones."""
-    word, mark = (text, "") if text.isalpha() else (text[:-1], text[-1:])
-    if (not mark or mark in MARKS and word.isalpha()) and (word.isascii() or max(word) < LATIN_END):
-        return word, mark
-    return None
+    if text.isalpha():
+        return (text, "") if text.isascii() or max(text) < LATIN_END else None
+    word = text[:-1]
+    return (word, text[-1]) if word.isalpha() and text[-1] in MARKS and (word.isascii() or max(word) < LATIN_END) else None
 
 
 class WordEncoder(Encoder):
@@ -207,7 +195,7 @@ class WordEncoder(Encoder):
         import numpy as np
 
         super().__init__(path)
-        self.memo = _Memo(self._ask, entries)
+        self.memo = _Memo(self._piece, entries)
         vocab = self.library.get_vocab(with_added_tokens=False)
         self.last = np.zeros(self.library.get_vocab_size() + 1, dtype=bool)  # tokens that end a word
         self.last[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
@@ -233,7 +221,17 @@ class WordEncoder(Encoder):
         split = {p: (self._normal(x[0]), x[1]) for p in pieces if (x := plain_word(p.decode("utf-8")))}
         words = self.learn(list({w for w, _ in split.values()}))
         found = {p: words[w] + self.parts[mark] if mark else words[w] for p, (w, mark) in split.items()}
-        return found | {p: self._ask(p) for p in pieces if p not in split}
+        return found | {p: self._ask(p.decode("utf-8")) for p in pieces if p not in split}
+
+    def _piece(self, piece: bytes) -> bytes:
+        """The ids of a new piece; those of a word with a mark behind it from those of the word, if it is known."""
+        text = piece.decode("utf-8")
+        if (plain := plain_word(text)) is None:
+            return self._ask(text)
+        word, mark = plain
+        if not mark:
+            return self._part(word.lower())
+        return (self.memo.get(piece[:-1]) or self._part(word.lower())) + self.parts[mark]
 
     def encode(self, texts) -> Iterator[bytes]:
         get = self.memo.__getitem__
@@ -245,21 +243,20 @@ class ByteEncoder(Encoder):
     """For byte-level vocabularies that keep white space as a prefix of the next piece."""
 
     PATTERN = BYTE_PATTERN
-    ENTRIES = BYTE_MEMO_ENTRIES
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.inner = _Memo(self._inner, self.ENTRIES)
+        self.inner = _Memo(self._inner, BYTE_MEMO_ENTRIES)
 
     def _inner(self, word: str) -> bytes:
         """The ids of a word with the white space before it: a line feed that it holds, or else a space."""
         if word[0] == "\n":
             return self._ask("\n") + self._ask(word[1:]) if not word[1].isspace() else self._ask(word)
-        if word.isalpha() and max(word) < LATIN_END:
-            return self.parts[" " + word]
-        if word[:-1].isalpha() and word[-1] in ".,;:!?" and max(word) < LATIN_END:
-            return self.parts[" " + word[:-1]] + self.parts[word[-1]]
-        return self._ask(" " + word)
+        if (plain := plain_word(word)) is None:
+            return self._ask(" " + word)
+        if not plain[1]:
+            return self._part(" " + word)
+        return (self.inner.get(plain[0]) or self._part(" " + plain[0])) + self.parts[plain[1]]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """With single spaces or line feeds between words only, a cut before each of them is a boundary of the
