@@ -14,7 +14,7 @@ from narrative_spark.streaming import logs as streaming
     ("data", "encoding"),
     [
         (b"", "utf-8"), (b"plain ascii", "utf-8"), ("漢字".encode(), "utf-8"), (b"\xef\xbb\xbfx", "utf-8-sig"), (b"\xff\xfe" + "字".encode("utf-16-le"), "utf-16-le"),
-        (b"\xfe\xff" + "字".encode("utf-16-be"), "utf-16-be"), ("這是一句話".encode("gb18030"), "gb18030"), ("plain latin text".encode("utf-16-le"), "utf-16-le"),
+        (b"\xfe\xff" + "字".encode("utf-16-be"), "utf-16-be"), ("船到了對岸".encode("gb18030"), "gb18030"), ("plain latin text".encode("utf-16-le"), "utf-16-le"),
     ],
 )
 def test_detect(data, encoding):
@@ -27,12 +27,12 @@ def test_decode_never_fails(data):
 
 
 def test_read_books(spark, tmp_path):
-    text = "第一章\n他說了一句話。\n下一章"
+    text = "第二回\n船到了對岸。\n翻页"
     (tmp_path / "《名》.txt").write_bytes(text.encode("gb18030"))
     (tmp_path / "b.txt").write_bytes(b"\xfe\xff" + text.encode("utf-16-be"))
     (tmp_path / "c.txt").write_bytes(text.encode())
     got = {r.book_id: r for r in files.read_books(spark, str(tmp_path)).collect()}
-    assert set(got) == {"名", "b", "c"} and {r.text for r in got.values()} == {"第一章\n他說了一句話。"} and got["c"].char_count == 11
+    assert set(got) == {"名", "b", "c"} and {r.text for r in got.values()} == {"第二回\n船到了對岸。"} and got["c"].char_count == 10
 
 
 def test_json_lines_skip_damage(spark, tmp_path):

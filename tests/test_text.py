@@ -11,7 +11,7 @@ def apply(spark, function, inputs):
     return [r[0] for r in rows.orderBy("k").select(function("x")).collect()]
 
 
-ADS = ["请记住本站域名", "最新章节免费阅读", "　　加入书签", "手机用户请访问", "下一章", "求月票", "推荐票", "求 收藏", "（本章完）", "https://a.b/c", "未完待续"]
+ADS = ["本站域名：某某", "全文阅读请点这里", "　添加书签", "手机版更方便", "翻页", "投月票", "投推荐票", "求 打赏", "【全文完】", "www.x.y/z", "故事未完待续"]
 PROSE = ["一枚书签落在了地上", "上一章乐曲刚停", "卖月票的窗口关了", "本章完全不提此事", "墙上刷着 www.a.b 几个字", "订阅晚报的人少了", "她的手机响了两声", "返回目录室取书"]
 
 
@@ -21,15 +21,15 @@ def test_ad_lines(spark):
 
 
 def test_clean_text_is_idempotent(spark):
-    raw = "甲　\r\n\r\n\r\n\r\n乙\r下一章\n丙 \n（本章完）\n"
+    raw = "甲　\r\n\r\n\r\n\r\n乙\r翻页\n丙 \n【全文完】\n"
     once = apply(spark, T.clean_text, [raw, "", None])
     assert once[0] == "甲\n\n乙\n丙" and once[1] == "" and once[2] is None
     assert apply(spark, T.clean_text, once[:2]) == once[:2]
 
 
 def test_headings(spark):
-    yes = ["第一章 雨夜", "第12章：归来", "第１０回 夜宴", "序章", "番外 之后的事", "第一章.雨夜", "第七节　开端", "尾声"]
-    no = ["第一章节的写法", "第二章最后他走了", "第一章正文。", "序章的写法他改了三遍", "他说第一章很好", "", "  ", "序", "第一章" + "长" * 60]
+    yes = ["第三章 渡口", "第27章：借火", "第４５回 灯市", "楔子", "外传 山中岁月", "第九章.渡口", "第六节　旧信", "后记"]
+    no = ["第一章节选自别处", "第五章最后一盏灯灭了", "第二章写完了。", "尾声部分他重写了许多回", "我翻到第三章就睡了", "", "  ", "引", "第八章" + "长" * 60]
     assert apply(spark, T.chapter_title, yes) == yes and apply(spark, T.chapter_title, no) == [None] * len(no)
 
 
