@@ -190,6 +190,8 @@ def assign(ranked: DataFrame, plan: DataFrame, block: int = 1024) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    A null text is empty: its document is the end id alone. Repeated documents are packed each.
+    A null or empty text is the end id alone; a longer document than a sequence is cut, whatever its length. Repeated rows
+    are packed each; pieces of one length are interchangeable, so ties go by document id, piece and start. An empty table
+    gives no rows; extra columns are ignored.
     """
     return pack(cut_pieces(docs, tokenizer, end_id, capacity), capacity)
