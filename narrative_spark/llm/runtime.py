@@ -12,7 +12,7 @@ from ..runtime import ship_package
 #: Limits of one Arrow batch on its way to Python. They bound a worker's memory whatever the length of the texts.
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
 }
 
 
