@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .encoding import MEMO_KEY, WordEncoder, by_bytes, cut_here, encoder, safe_pieces, tokenizer_path
 from .runtime import bounded_arrow
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Entries of the memo of lengths.
 ENTRIES = 600_000
 _LOADED: dict[str, "PieceCounts | TextCounts"] = {}
