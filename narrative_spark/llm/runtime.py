@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -73,6 +74,13 @@ def stored(df: DataFrame, name: str, fmt: str = "parquet", path: str | None = No
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have Spark drop shuffles and broadcasts that nothing refers to any more: it does so behind a garbage collection of
+    the driver, which on its own may come after very many of them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """The tables that one call of an operator writes on its way. They are deleted at the end of the block, also after
     an error; only the result stays, as a table of its own."""
@@ -87,6 +95,7 @@ class Scratch:
         for path in self.paths:
             delete(self.spark, path)
         self.paths = []
+        tidy(self.spark)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_dir(self.spark, name)

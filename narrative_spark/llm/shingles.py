@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import components
 from .runtime import Scratch, bounded_arrow
 
 SEED = 42
@@ -100,24 +99,27 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_digest binary, digest binary, fp bigint, w1 bigint, w2 bigint, w3 bigint")
 
 
-#: Sets of a block: two blocks' sets and the pairs between them meet in one place.
-BLOCK = 128
+#: Sets of a block: two blocks' sets and the pairs between them meet in one place. Pairs a node from which that saves.
+BLOCK, DENSE = 128, 4
 
 
-def blocked(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``pairs(u, v)`` with the pair of blocks ``(heap, a, b)`` that they lie in, and the nodes ``(heap, block, node)``.
+def blocked(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(a, b, u, v)``: each pair with the place where its sets meet, two blocks of a bounded number of sets.
 
-    Nodes that pairs connect make a heap; a heap is cut into blocks in the order of its nodes. So a set goes once to each
-    pair of blocks that needs it, not to each of its pairs.
+    Few pairs for their nodes meet by one node and a run of others. Where there are many, nodes with the same smallest
+    neighbour, which large groups have, are cut into blocks, and the pairs of two blocks meet in one place: so a set goes
+    once to each pair of blocks that needs it, not to each of its pairs.
     """
-    roots = scratch.store(components(pairs), "copies-heaps")
-    nodes = roots.select("node", F.col("root").alias("heap")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("heap")).distinct())
-    place = F.row_number().over(W.partitionBy("heap").orderBy("node")) - 1
-    placed = scratch.store(nodes.select("heap", F.floor(place / BLOCK).cast("int").alias("block"), "node"), "copies-blocks")
-    for c, more in (("u", ["heap"]), ("v", [])):
-        pairs = pairs.join(placed.select(F.col("node").alias(c), *more, F.col("block").alias(f"{c}_block")), c)
-    keyed = pairs.select("heap", F.least("u_block", "v_block").alias("a"), F.greatest("u_block", "v_block").alias("b"), "u", "v")
-    return scratch.store(keyed, "copies-keyed"), placed
+    place = lambda label, block: F.struct(label.cast("bigint").alias("label"), block.cast("bigint").alias("block"))
+    both = pairs.select(F.col("u").alias("node"), F.col("v").alias("near")).unionByName(pairs.select(F.col("v").alias("node"), F.col("u").alias("near")))
+    labels = both.groupBy("node").agg(F.least("node", F.min("near")).alias("label"))
+    if pairs.count() <= DENSE * labels.count():
+        return pairs.select(place(F.col("u"), F.lit(0)).alias("a"), place(F.lit(0), F.floor(F.col("v") / BLOCK)).alias("b"), "u", "v")
+    number = F.row_number().over(W.partitionBy("label").orderBy("node")) - 1
+    placed = scratch.store(labels.select("node", place(F.col("label"), F.floor(number / BLOCK)).alias("place")), "copies-blocks")
+    for c in "uv":
+        pairs = pairs.join(placed.select(F.col("node").alias(c), F.col("place").alias(f"{c}_place")), c)
+    return scratch.store(pairs.select(F.least("u_place", "v_place").alias("a"), F.greatest("u_place", "v_place").alias("b"), "u", "v"), "copies-keyed")
 
 
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -149,13 +151,14 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: in
             keep.append(den * shared >= num * (len(x) + len(y) - shared))
         return rows.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    keyed, placed = blocked(pairs, scratch)
-    asked = nodes.join(placed.select("node"), "node").select("node", F.col("doc_id").alias("asked_id"), F.col("text_digest").alias("asked_text"))
+    keyed = blocked(pairs, scratch)
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = nodes.join(named, "node").select("node", F.col("doc_id").alias("asked_id"), F.col("text_digest").alias("asked_text"))
     asked = scratch.store(asked, "copies-asked")  # ids of near copies alone: a small side, so that no text is shuffled
     rows = docs.select("doc_id", copies_key("text").alias("text_digest"), F.col("text").cast("binary").alias("text"))
     some = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_digest") == F.col("asked_text"))).select("node", "text")
     found = scratch.store(some.mapInArrow(sets, "node bigint, members binary").dropDuplicates(["node"]), "copies-sets")
-    needed = keyed.select("heap", "a", "b", F.explode(F.array("u", "v")).alias("node")).distinct()
-    shipped = needed.join(found, "node").select("heap", "a", "b", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "members")
-    whole = shipped.unionByName(keyed.withColumn("members", F.lit(None).cast("binary")).select("heap", "a", "b", "u", "v", "members"))
-    return whole.groupBy("heap", "a", "b").applyInArrow(compare, "u bigint, v bigint")
+    needed = keyed.select("a", "b", F.explode(F.array("u", "v")).alias("node")).distinct()
+    shipped = needed.join(found, "node").select("a", "b", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "members")
+    whole = shipped.unionByName(keyed.withColumn("members", F.lit(None).cast("binary")).select("a", "b", "u", "v", "members"))
+    return whole.groupBy("a", "b").applyInArrow(compare, "u bigint, v bigint")

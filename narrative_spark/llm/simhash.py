@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Scratch, bounded_arrow, stored
+from .runtime import Scratch, bounded_arrow, stored, tidy
 from .shingles import WIDE, copies_key, majority_bits, shingle_hashes, shingled, similar_pairs
 
 #: Fingerprints of a page, of a leaf of its tree, children of a node above, and pairs of nodes looked at together.
@@ -572,6 +572,8 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, num: int, den:
     links = checked(tried)
     roots = scratch.store(components(links), "copies-roots")
     while True:
+        del found
+        tidy(nodes.sparkSession)
         found = met(roots, open_pairs(REACH))
         pages = found.where("page")
         different = F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))

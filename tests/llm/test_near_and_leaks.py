@@ -4,8 +4,9 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
-from narrative_spark.llm import decontaminate, sharding, simhash
+from narrative_spark.llm import decontaminate, sharding, shingles, simhash
 from narrative_spark.llm.components import components
 from narrative_spark.llm.runtime import Scratch
 
@@ -118,7 +119,10 @@ def brute_groups(texts, width=5):
     return labels, pairs
 
 
-def test_near_copies_against_brute_force(documents, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 4])
+def test_near_copies_against_brute_force(documents, monkeypatch, dense):
+    monkeypatch.setattr(shingles, "DENSE", dense)
+    monkeypatch.setattr(shingles, "BLOCK", 16)
     texts = ["", None, " \n", "one", "One", "two words", "two  WORDS", "only three words", "a long tale " * 4000]
     for k in range(40):
         texts += near_copies_of(k, 150, [0, 1, 2, 2, 3, 3])
