@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import ship_package
 
@@ -106,6 +107,35 @@ class Scratch:
         return stored(df, name)
 
 
+#: Rows of a table that is broadcast whole, and bits of the filter that stands for a larger one.
+SMALL, FILTER_BITS = 400_000, 1 << 26
+
+
+def split_by(rows: DataFrame, table: DataFrame, place: Column, place_in: Column) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have a partner in ``table``, and those that have none, told apart by a filter of hashed bits.
+
+    The filter is a table of 64-bit words, of ``FILTER_BITS / 64`` rows at most, so it can be broadcast at any size of the
+    other; wide rows without a partner need no shuffle.
+    """
+    at = lambda c: c.bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.lit(1).cast("bigint")
+    words = table.select(F.shiftrightunsigned(at(place_in), 6).alias("_word"), at(place_in).bitwiseAND(F.lit(63)).alias("_bit"))
+    words = words.select("_word", F.call_function("shiftleft", bit, F.col("_bit").cast("int")).alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+    marked = rows.withColumn("_place", at(place)).withColumn("_word", F.shiftrightunsigned("_place", 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.getbit("_bits", F.col("_place").bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
+
+
+def narrow_join(rows: DataFrame, table: DataFrame, on: Column, how: str, place: Column, place_in: Column) -> DataFrame:
+    """Join wide ``rows`` to a narrow ``table``, ``inner``, ``left_semi`` or ``left_anti``, without a shuffle of the rows
+    that have no partner: a small table is broadcast, a larger one after a filter of its hashes has gone ahead."""
+    if table.count() <= SMALL:
+        return rows.join(F.broadcast(table), on, how)
+    maybe, never = split_by(rows, table, place, place_in)
+    met = maybe.join(table, on, how)
+    return met.unionByName(never) if how == "left_anti" else met
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`stored` made, once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, bounded_arrow
+from .runtime import Scratch, bounded_arrow, narrow_join
 
 SEED = 42
 
@@ -154,9 +154,10 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: in
     keyed = blocked(pairs, scratch)
     named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     asked = nodes.join(named, "node").select("node", F.col("doc_id").alias("asked_id"), F.col("text_digest").alias("asked_text"))
-    asked = scratch.store(asked, "copies-asked")  # ids of near copies alone: a small side, so that no text is shuffled
+    asked = scratch.store(asked, "copies-asked")  # names of near copies alone: other texts aren't shuffled to meet them
     rows = docs.select("doc_id", copies_key("text").alias("text_digest"), F.col("text").cast("binary").alias("text"))
-    some = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_digest") == F.col("asked_text"))).select("node", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_digest") == F.col("asked_text"))
+    some = narrow_join(rows, asked, same, "inner", F.xxhash64("text_digest"), F.xxhash64("asked_text")).select("node", "text")
     found = scratch.store(some.mapInArrow(sets, "node bigint, members binary").dropDuplicates(["node"]), "copies-sets")
     needed = keyed.select("a", "b", F.explode(F.array("u", "v")).alias("node")).distinct()
     shipped = needed.join(found, "node").select("a", "b", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "members")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Scratch, bounded_arrow, stored, tidy
+from .runtime import Scratch, bounded_arrow, narrow_join, stored, tidy
 from .shingles import WIDE, copies_key, majority_bits, shingle_hashes, shingled, similar_pairs
 
 #: Fingerprints of a page, of a leaf of its tree, children of a node above, and pairs of nodes looked at together.
@@ -17,6 +17,8 @@ PAGE = 4096
 LEAF = 16
 FAN = 8
 FRONTIER = 1 << 14
+#: Pairs of a batch out of Python.
+BATCH = 1 << 15
 #: Rows of one fingerprint from which its rows are joined apart: more than one in so many of all, so these are few.
 HOT = 1000
 
@@ -97,8 +99,8 @@ def tree_pairs(a: GrayIndex, b: GrayIndex, distance: int) -> Iterator[tuple]:
             keep = (ci < len(level(a, k - 1)[0])) & (cj < len(level(b, k - 1)[0]))
             stack.append((k - 1, ci[keep], cj[keep]))
             continue
-        for at in range(0, len(i), 2048):
-            x, y = i[at : at + 2048, None] * LEAF + inner, j[at : at + 2048, None] * LEAF + inner
+        for at in range(0, len(i), 512):
+            x, y = i[at : at + 512, None] * LEAF + inner, j[at : at + 512, None] * LEAF + inner
             inside_x, inside_y = x < len(a.values), y < len(b.values)
             vx, vy = a.values[np.where(inside_x, x, 0)], b.values[np.where(inside_y, y, 0)]
             near = np.bitwise_count(vx[:, :, None] ^ vy[:, None, :]) <= distance
@@ -519,8 +521,10 @@ def _apart(pairs, a: tuple, b: tuple) -> Iterator[pa.RecordBatch]:
     for i, j, bits in pairs:
         keep = a[1][i] != b[1][j]
         if keep.any():
-            u, v = a[0][i[keep]], b[0][j[keep]]
-            yield _pair_batch(np.minimum(u, v), np.maximum(u, v), bits[keep])
+            u, v, bits = a[0][i[keep]], b[0][j[keep]], bits[keep]
+            low, high = np.minimum(u, v), np.maximum(u, v)
+            for at in range(0, len(u), BATCH):
+                yield _pair_batch(low[at : at + BATCH], high[at : at + BATCH], bits[at : at + BATCH])
 
 
 def open_cross(distance: int):
@@ -622,10 +626,14 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> Dat
         gone = stored(keys.join(kept, here(keys, kept), "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("text_digest").alias("gone_text")), "copies-gone")
         twice = stored(keys.where("rows > 1").join(kept, here(keys, kept), "left_semi").select(F.col("doc_id").alias("gone_id"), F.col("text_digest").alias("gone_text")), "copies-twice")
     keyed = docs.withColumn("_copies_key", copies_key("text"))
-    same = lambda t: F.col("doc_id").eqNullSafe(t["gone_id"]) & (F.col("_copies_key") == t["gone_text"])
-    left = keyed.join(gone, same(gone), "left_anti")
+
+    def joined(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("_copies_key") == F.col("gone_text"))
+        return narrow_join(rows, table, same, how, F.xxhash64("_copies_key"), F.xxhash64("gone_text"))
+
+    left = joined(keyed, gone, "left_anti")
     if twice.isEmpty():
         return left.select(*docs.columns)
     row = F.struct(*docs.columns)
-    once = left.join(twice, same(twice), "left_semi").groupBy("doc_id", "_copies_key").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
-    return left.join(twice, same(twice), "left_anti").select(*docs.columns).unionByName(once)
+    once = joined(left, twice, "left_semi").groupBy("doc_id", "_copies_key").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return joined(left, twice, "left_anti").select(*docs.columns).unionByName(once)

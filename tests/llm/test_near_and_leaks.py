@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from narrative_spark.llm import decontaminate, sharding, shingles, simhash
+from narrative_spark.llm import decontaminate, runtime, sharding, shingles, simhash
 from narrative_spark.llm.components import components
 from narrative_spark.llm.runtime import Scratch
 
@@ -137,7 +137,9 @@ def test_near_copies_against_brute_force(documents, monkeypatch, dense):
     assert want <= got and len(got - want) <= 0.02 * (len(rows) - len(want))  # nothing else goes, and all but all copies do
 
 
-def test_rows_that_share_an_id(documents):
+@pytest.mark.parametrize("small", [0, 400_000])
+def test_rows_that_share_an_id(documents, monkeypatch, small):
+    monkeypatch.setattr(runtime, "SMALL", small)  # tables that are broadcast, or larger ones
     text, other = prose(1, 120), prose(2, 120)
     rows = [(5, text), (3, text), (9, text), (9, other), (9, other), (None, prose(3, 120)), (None, prose(4, 120)), (None, other), (12, other + " end"), (12, prose(5, 120))]
     kept = simhash.keep_one(documents(rows))
@@ -196,12 +198,15 @@ def test_leaks_against_brute_force(spark, documents):
 
 
 def test_salted_words_and_no_filter(spark, documents, monkeypatch):
+    monkeypatch.setattr(runtime, "SMALL", 0)
     items = [(1, prose(50, 30)), (2, "solo")]
     docs = [(k, prose(60 + k, 20) + " " + (prose(50, 30) if k % 3 else "solo")) for k in range(12)]
     table = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontaminate, "SMALL", 0)
     monkeypatch.setattr(decontaminate, "MOST_BITS", 1)
     assert sorted(tuple(r) for r in decontaminate.contamination(documents(docs), table).collect()) == brute_leaks(docs, items)
+    clean = [(50, prose(99, 30)), (51, None)]
+    assert {r.doc_id for r in decontaminate.drop_contaminated(documents(docs + clean), table).collect()} == {50, 51}
 
 
 def test_repeated_ids_are_counted_apart(spark, documents):
