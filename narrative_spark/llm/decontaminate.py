@@ -15,9 +15,9 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A table of so many rows at most is broadcast. Beyond it, the words of a document meet it in one of ``SALTS`` copies,
 #: so that no frequent word is one task's.
 SMALL, SALTS = 500_000, 32
-#: Bits of the filter that keeps documents without candidates out of a join: eight for each candidate document, and a
-#: table of 2^20 rows at most. Where that is too few, the filter is left out.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+#: Bits of the filter that keeps documents without candidates out of a join: a table of 2^20 rows of words at most. Where
+#: that is too few, the filter is left out.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 
 def split_words(text: Column) -> Column:
@@ -80,12 +80,13 @@ def plan_windows(terms: DataFrame, counts: DataFrame, width: int) -> DataFrame:
 def near_rows(postings: DataFrame, candidates: DataFrame) -> DataFrame:
     """Postings of rows that may have a candidate: a filter of hashed bits, as a table of 64-bit words.
 
-    The filter has eight bits for each row with a candidate, counted before, so that it lets one in eight of the other
-    rows through; those find no candidate in the join. Where it would be too large to broadcast, nothing is filtered.
+    The filter has 128 bits or more for each row with a candidate, counted before, as long as it can be broadcast, so that
+    it lets hardly any of the other rows through; those find no candidate in the join. Where four bits a row would be too
+    many, nothing is filtered.
     """
     n = candidates.agg(F.approx_count_distinct("rid")).first()[0]
-    bits = max(LEAST_BITS, 1 << (8 * n).bit_length())
-    if bits > MOST_BITS:
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (128 * n).bit_length()))
+    if 4 * n > bits:
         return postings
     place = F.xxhash64("rid").bitwiseAND(F.lit(bits - 1))
     word, bit = F.shiftrightunsigned(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
