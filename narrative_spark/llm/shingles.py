@@ -122,9 +122,9 @@ def blocked(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.store(pairs.select(F.least("u_place", "v_place").alias("a"), F.greatest("u_place", "v_place").alias("b"), "u", "v"), "copies-keyed")
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Those of ``pairs(u, v)`` of ``nodes(node, doc_id, text_digest)`` whose texts have sets of shingles with a Jaccard
-    similarity of ``num / den`` or more. Sets are made of the texts that a pair names, each once."""
+def member_sets(named: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """``(node, members)``: the sets of the ``nodes(node, doc_id, text_digest)`` that ``named(node)`` names, as the bytes of
+    sorted hashes. Each is made once, of one document's text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -133,6 +133,17 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: in
             found = [np.unique(shingle_hashes(t or b"", width)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "members"])
 
+    asked = nodes.join(named.distinct(), "node").select("node", F.col("doc_id").alias("asked_id"), F.col("text_digest").alias("asked_text"))
+    asked = scratch.store(asked, "copies-asked")  # names of near copies alone: other texts aren't shuffled to meet them
+    rows = docs.select("doc_id", copies_key("text").alias("text_digest"), F.col("text").cast("binary").alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_digest") == F.col("asked_text"))
+    some = narrow_join(rows, asked, same, "inner", F.xxhash64("text_digest"), F.xxhash64("asked_text")).select("node", "text")
+    return scratch.store(some.mapInArrow(sets, "node bigint, members binary").dropDuplicates(["node"]), "copies-sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose ``sets`` have a Jaccard similarity of ``num / den`` or more."""
+
     def compare(group: pa.Table) -> pa.Table:
         import numpy as np
 
@@ -152,14 +163,72 @@ def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: in
         return rows.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     keyed = blocked(pairs, scratch)
-    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    asked = nodes.join(named, "node").select("node", F.col("doc_id").alias("asked_id"), F.col("text_digest").alias("asked_text"))
-    asked = scratch.store(asked, "copies-asked")  # names of near copies alone: other texts aren't shuffled to meet them
-    rows = docs.select("doc_id", copies_key("text").alias("text_digest"), F.col("text").cast("binary").alias("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("text_digest") == F.col("asked_text"))
-    some = narrow_join(rows, asked, same, "inner", F.xxhash64("text_digest"), F.xxhash64("asked_text")).select("node", "text")
-    found = scratch.store(some.mapInArrow(sets, "node bigint, members binary").dropDuplicates(["node"]), "copies-sets")
     needed = keyed.select("a", "b", F.explode(F.array("u", "v")).alias("node")).distinct()
-    shipped = needed.join(found, "node").select("a", "b", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "members")
+    shipped = needed.join(sets, "node").select("a", "b", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "members")
     whole = shipped.unionByName(keyed.withColumn("members", F.lit(None).cast("binary")).select("a", "b", "u", "v", "members"))
     return whole.groupBy("a", "b").applyInArrow(compare, "u bigint, v bigint")
+
+
+#: Bytes of the sets of a block of a crowd, and its number of blocks by the root of its size: so many sets go to so many
+#: places that rows grow with the power 1.5 of a crowd's size.
+BLOCK_BYTES, ROOT = 8 << 20, 2.5
+
+
+def crowd_places(crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """``crowds(node, crowd, ...)`` with ``members`` and the places ``a, b`` where their blocks meet, each block with itself
+    and with each other one. A crowd of ``BLOCK`` sets at most, as nearly all are, is one block."""
+    rows = crowds.join(sets, "node")
+    size = crowds.select("node", "crowd").join(sets.select("node", F.octet_length("members").alias("bytes")), "node").groupBy("crowd").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.when(F.col("rows") > BLOCK, F.ceil(F.sqrt("rows") / ROOT)).otherwise(F.lit(1)), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("bigint")
+    large = size.select("crowd", blocks.alias("blocks")).where("blocks > 1")
+    rows = rows.join(F.broadcast(large), "crowd", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return rows.select(*crowds.columns, F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "members")
+
+
+def crowd_links(num: int, den: int, reach: int):
+    """The function of one place: edges that join the groups of its sets by all links there are between them.
+
+    Links are pairs of different roots whose fingerprints are near and whose sets have a similarity of ``num / den`` or
+    more. Two sets share at most what either has in common with any other set of the place, so those with much of their
+    own are compared no further. Of the others, the members of the pairs that are still open are counted.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        import numpy as np
+
+        node, root, block = (np.asarray(group[c]) for c in ("node", "root", "block"))
+        wide = [np.asarray(group[c]).view(np.uint64) for c in ("fp", "w1", "w2", "w3")]
+        held = [np.frombuffer(m.as_buffer(), np.uint64) for m in group["members"]]
+        size = np.array([len(x) for x in held], dtype=np.int64)
+        start = np.cumsum(size) - size
+        values, token = np.unique(np.concatenate(held), return_inverse=True)
+        several = np.r_[0, np.cumsum(np.bincount(token, minlength=len(values))[token] > 1)]
+        common = several[start + size] - several[start]
+        _, at, group_of = np.unique(root, return_index=True, return_inverse=True)
+        labels, has = np.arange(len(at)), np.zeros(len(values), dtype=bool)
+        within = group["a"][0] == group["b"][0]
+        first = np.arange(len(node)) if within else np.flatnonzero(block == group["a"][0].as_py())
+        second = first if within else np.flatnonzero(block == group["b"][0].as_py())
+        us, vs = [], []
+        for k, i in enumerate(first.tolist()):
+            j = second[k + 1 :] if within else second
+            most = np.minimum(common[i], common[j])
+            j = j[(labels[group_of[i]] != labels[group_of[j]]) & ((num + den) * most >= num * (size[i] + size[j])) & (most > 0)]
+            j = j[np.bitwise_count(wide[0][i] ^ wide[0][j]) <= reach]
+            j = j[sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in wide) <= WIDE]
+            if not len(j):
+                continue
+            ends = np.cumsum(size[j])
+            own = token[start[i] : start[i] + size[i]]
+            has[own] = True
+            shared = np.add.reduceat(has[token[np.arange(ends[-1]) + np.repeat(start[j] - ends + size[j], size[j])]].astype(np.int64), ends - size[j])
+            has[own] = False
+            j = j[(num + den) * shared >= num * (size[i] + size[j])]
+            while len(j):  # one edge for each group that this set joins
+                us.append(int(node[i])), vs.append(int(node[j[0]]))
+                labels[labels == labels[group_of[j[0]]]] = labels[group_of[i]]
+                j = j[labels[group_of[j]] != labels[group_of[i]]]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import Scratch, bounded_arrow, narrow_join, stored, tidy
-from .shingles import WIDE, copies_key, majority_bits, shingle_hashes, shingled, similar_pairs
+from .shingles import WIDE, copies_key, crowd_links, crowd_places, majority_bits, member_sets, shingle_hashes, shingled, similar_pairs
 
 #: Fingerprints of a page, of a leaf of its tree, children of a node above, and pairs of nodes looked at together.
 PAGE = 4096
 LEAF = 16
 FAN = 8
 FRONTIER = 1 << 14
-#: Pairs of a batch out of Python.
-BATCH = 1 << 15
 #: Rows of one fingerprint from which its rows are joined apart: more than one in so many of all, so these are few.
 HOT = 1000
 
@@ -413,8 +411,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 #: Bits in which fingerprints of near copies may differ: of sets of a similarity of 0.8, 9.7 of 64 do on average and over
 #: 15 in one case of fifty. ``LIKELY`` bits are those at which a pair has to meet in some order with ``RECALL``.
 REACH, LIKELY, RECALL = 15, 11, 0.97
-#: Bits of a bucket, at the least; and open pairs, as a multiple of the documents, from which they are checked by stages.
-LEAST_KEY, MANY = 8, 2
+#: Bits of a bucket, at the least.
+LEAST_KEY = 8
 
 
 def random_orders(n: int, seed: int = 7) -> list[tuple[list[int], int]]:
@@ -492,7 +490,8 @@ def first_partners(distance: int):
 
 
 def open_pairs(distance: int):
-    """The function of one range partition: pairs of different roots within pages, and pages of larger buckets."""
+    """The function of one range partition: edges that connect what pairs of different roots within pages do, and pages of
+    larger buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -508,27 +507,34 @@ def open_pairs(distance: int):
                 yield _given_batch(pages)
                 pages = []
             if (root != root[0]).any():
-                yield from _apart(close_pairs(wide, wide, distance), (node, root), (node, root))
+                u, v = _apart(close_pairs(wide, wide, distance), node, root)
+                if len(u):
+                    yield _pair_batch(u, v, np.zeros(len(u)))
         if pages:
             yield _given_batch(pages)
 
     return run
 
 
-def _apart(pairs, a: tuple, b: tuple) -> Iterator[pa.RecordBatch]:
+def _apart(pairs, node, root, offset: int = 0):
+    """Edges from the smallest node of each component of the pairs of different roots to its others: never all pairs.
+    The second side of the pairs begins at ``offset``."""
     import numpy as np
 
-    for i, j, bits in pairs:
-        keep = a[1][i] != b[1][j]
+    labels = np.arange(len(node))
+    for i, j, _ in pairs:
+        keep = root[i] != root[j + offset]
         if keep.any():
-            u, v, bits = a[0][i[keep]], b[0][j[keep]], bits[keep]
-            low, high = np.minimum(u, v), np.maximum(u, v)
-            for at in range(0, len(u), BATCH):
-                yield _pair_batch(low[at : at + BATCH], high[at : at + BATCH], bits[at : at + BATCH])
+            labels = merged(labels, i[keep], j[keep] + offset)
+    least = node.copy()
+    np.minimum.at(least, labels, node)
+    least = least[labels]
+    own = least != node
+    return least[own], node[own]
 
 
 def open_cross(distance: int):
-    """Pairs of different roots of two pages of one bucket."""
+    """Edges that connect what pairs of different roots of two pages of one bucket do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -537,8 +543,8 @@ def open_cross(distance: int):
             for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 (fa, na, ra), (fb, nb, rb) = (tuple(np.frombuffer(x, np.int64) for x in half) for half in (row[:3], row[3:]))
                 wide = [list(f.view(np.uint64).reshape(4, -1)) for f in (fa, fb)]
-                for out in _apart(close_pairs(*wide, distance), (na, ra), (nb, rb)):
-                    yield out.select(["u", "v", "apart"])
+                u, v = _apart(close_pairs(*wide, distance), np.concatenate([na, nb]), np.concatenate([ra, rb]), len(na))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
@@ -553,12 +559,11 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, num: int, den:
 
     Links are pairs of nodes whose fingerprints differ in ``REACH`` bits at most, that meet in a bucket of some order,
     whose wide fingerprints differ in ``shingles.WIDE`` bits at most, and whose whole sets have a Jaccard similarity of
-    ``num / den`` or more. First each node is checked against two of
-    its partners, then all pairs that the groups so found leave open, so that members of a large group are not paired
-    with each other. Where these are many, each node's nearest one of each other group comes first, and again.
+    ``num / den`` or more. First each node is checked against two of its partners. What the groups so found leave open is
+    never listed by pairs, of which a large group of near copies has as many as its square: pages give out edges that
+    connect the nodes of open pairs to crowds, and the sets of a crowd meet in blocks, where all its pairs are looked at.
     """
-    n = nodes.count()
-    orders = random_orders(n)
+    orders = random_orders(nodes.count())
 
     def met(roots: DataFrame | None, function) -> DataFrame:
         rows = nodes.select(*INDEXED[:-1])
@@ -568,35 +573,30 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, num: int, den:
             rows = rows.join(roots.select("node", F.col("root").alias("r")), "node", "left").select(*INDEXED[:-1], F.coalesce("r", "node").alias("root"))
         return scratch.store(ranked(rows, orders).mapInArrow(function, PAIRS), "copies-index")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        return scratch.store(similar_pairs(scratch.store(pairs, "copies-pairs"), nodes, docs, width, num, den, scratch), "copies-links")
-
     found = met(None, first_partners(REACH)).select("u", "v", "apart")
     tried = scratch.store(found.groupBy("v").agg(F.min("u").alias("u")).select("u", "v").unionByName(_best(found, ["v"])).distinct(), "copies-tried")
-    links = checked(tried)
+    named = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = member_sets(named, nodes, docs, width, scratch)
+    links = scratch.store(similar_pairs(tried, sets, num, den, scratch), "copies-links")
     roots = scratch.store(components(links), "copies-roots")
-    while True:
-        del found
-        tidy(nodes.sparkSession)
-        found = met(roots, open_pairs(REACH))
-        pages = found.where("page")
-        different = F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
-        crossed = with_pages(scratch.store(page_pairs(pages, REACH, different), "copies-pages"), pages, "members", "nodes", "roots")
-        pairs = found.where("not page").select("u", "v", "apart").unionByName(crossed.mapInArrow(open_cross(REACH), "u bigint, v bigint, apart int")).distinct()
-        left = scratch.store(pairs.join(tried, ["u", "v"], "left_anti"), "copies-open")
-        n_open = left.count()
-        if not n_open:
-            return roots
-        many = n_open > MANY * n
-        if many:  # the nearest of each other group first: that joins most of a large group
-            root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-            sided = left.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").withColumns({f"{c}_root": F.coalesce(f"{c}_root", c) for c in "uv"})
-            left = scratch.store(_best(sided, ["u", "v_root"]).unionByName(_best(sided, ["v", "u_root"])).distinct(), "copies-nearest")
-        links = scratch.store(links.unionByName(checked(left.select("u", "v"))), "copies-links")
-        roots = scratch.store(components(links), "copies-roots")
-        if not many:
-            return roots
-        tried = scratch.store(tried.unionByName(left.select("u", "v")), "copies-tried")
+    del found
+    tidy(nodes.sparkSession)
+    found = met(roots, open_pairs(REACH))
+    pages = found.where("page")
+    different = F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
+    crossed = with_pages(scratch.store(page_pairs(pages, REACH, different), "copies-pages"), pages, "members", "nodes", "roots")
+    edges = found.where("not page").select("u", "v").unionByName(crossed.mapInArrow(open_cross(REACH), "u bigint, v bigint"))
+    joined = components(edges).select("node", F.col("root").alias("crowd"))
+    crowds = scratch.store(joined.unionByName(joined.select(F.col("crowd").alias("node"), "crowd").distinct()), "copies-crowds")
+    if crowds.isEmpty():
+        return roots
+    others = scratch.store(crowds.select("node").join(named, "node", "left_anti"), "copies-others")
+    if not others.isEmpty():
+        sets = sets.unionByName(member_sets(others, nodes, docs, width, scratch))
+    known = crowds.join(nodes.select(*INDEXED[:-1]), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = crowd_places(known, sets).groupBy("crowd", "a", "b").applyInArrow(crowd_links(num, den, REACH), "u bigint, v bigint")
+    links = links.unionByName(scratch.store(more, "copies-links"))
+    return scratch.store(components(links), "copies-roots")
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:

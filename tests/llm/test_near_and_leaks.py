@@ -137,6 +137,67 @@ def test_near_copies_against_brute_force(documents, monkeypatch, dense):
     assert want <= got and len(got - want) <= 0.02 * (len(rows) - len(want))  # nothing else goes, and all but all copies do
 
 
+def test_rows_of_a_large_group(documents, monkeypatch):
+    """Edited copies that are near, but no links, of each other: no table on the way grows with the square of their number."""
+    written, store = {}, Scratch.store
+
+    def counted(self, df, name):
+        out = store(self, df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "store", counted)
+    most = {}
+    for n in (150, 600):
+        texts = list(near_copies_of(99, 150, [0] + [1, 3, 5, 4] * (n // 4)))
+        labels, _ = brute_groups(texts)
+        written.clear()
+        kept = {r.doc_id for r in simhash.keep_one(documents(list(enumerate(texts)))).collect()}
+        want = {k for k in range(len(texts)) if labels[k] == k}
+        assert want <= kept and len(kept - want) <= 0.02 * (len(texts) - len(want))
+        most[n] = dict(written)
+    assert all(most[600][name] <= 6 * max(count, 150) for name, count in most[150].items() if name in most[600]), most  # the square is 16
+    assert max(most[600].values()) <= 40 * 600
+
+
+@pytest.mark.parametrize("crowded", [1, 128])
+def test_crowds_in_blocks(documents, monkeypatch, crowded):
+    """Crowds that are cut into many blocks give the same groups as whole ones."""
+    monkeypatch.setattr(shingles, "BLOCK", crowded)
+    monkeypatch.setattr(shingles, "ROOT", 1)
+    texts = [t for k in range(4) for t in near_copies_of(k, 150, [0] + [1, 2, 3, 4] * 15)]
+    rows, (labels, _) = list(enumerate(texts)), brute_groups(texts)
+    kept = {r.doc_id for r in simhash.keep_one(documents(rows)).collect()}
+    want = {k for k in range(len(texts)) if labels[k] == k}
+    assert want <= kept and len(kept - want) <= 0.02 * (len(rows) - len(want))
+
+
+def test_links_of_a_place():
+    """All links of a place, within a block and across two, against the sets themselves."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = [t for k in range(3) for t in near_copies_of(k, 120, [0, 1, 2, 3, 4] * 6)] + ["one", "one two", ""]
+    sets = [np.unique(shingles.shingle_hashes(t.encode(), 5)) for t in texts]
+    wide = np.array([shingles.wide_bits(s) for s in sets], dtype=np.uint64).view(np.int64)
+    n, block = len(sets), np.array([r.randint(0, 1) for _ in sets])
+    node = np.array(r.sample(range(10**6), n))
+    for a, b in ((0, 0), (0, 1), (1, 1)):
+        here = np.flatnonzero((block == a) | (block == b))
+        columns = {"node": node[here], "root": node[here], "block": block[here], "a": np.full(len(here), a), "b": np.full(len(here), b)}
+        columns |= {c: wide[here, k] for k, c in enumerate(("fp", "w1", "w2", "w3"))}
+        table = pa.table({**{c: pa.array(x, pa.int64()) for c, x in columns.items()}, "members": pa.array([sets[k].tobytes() for k in here], pa.binary())})
+        index = {x: k for k, x in enumerate(node[here].tolist())}
+        got = crowd_labels(index, shingles.crowd_links(4, 5, 64)(table).to_pylist(), len(here))
+        alike = lambda x, y: 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))
+        pairs = [{"u": int(node[x]), "v": int(node[y])} for x in here for y in here if x < y and (a == b or block[x] != block[y]) and alike(sets[x], sets[y])]
+        assert pairs and (got == crowd_labels(index, pairs, len(here))).all()
+
+
+def crowd_labels(index, edges, n):
+    return simhash.merged(np.arange(n), np.array([index[e["u"]] for e in edges]), np.array([index[e["v"]] for e in edges]))
+
+
 @pytest.mark.parametrize("small", [0, 400_000])
 def test_rows_that_share_an_id(documents, monkeypatch, small):
     monkeypatch.setattr(runtime, "SMALL", small)  # tables that are broadcast, or larger ones
