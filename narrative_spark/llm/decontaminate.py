@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, narrow_join, stored
+from .runtime import Scratch, free_names, narrow_join, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words once A-Z are lower-cased: all of ASCII but digits and a-z.
@@ -179,8 +179,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, least_
     """
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
     hit = contamination(docs.select(digest.alias("doc_id"), "text"), items, width).where(F.col("n_hit") >= least_words)
-    gone = stored(hit.select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
-    return narrow_join(docs, gone, digest == F.col("gone"), "left_anti", F.xxhash64(F.coalesce(digest, F.lit(b""))), F.xxhash64("gone")).select(*docs.columns)
+    (key,) = free_names(docs, "gone")
+    gone = stored(hit.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return narrow_join(docs, gone, digest == F.col(key), "left_anti", F.xxhash64(F.coalesce(digest, F.lit(b""))), F.xxhash64(key)).select(*docs.columns)
 
 
 ORACLE = r"""

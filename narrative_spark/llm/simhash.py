@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Scratch, bounded_arrow, narrow_join, stored, tidy
+from .runtime import Scratch, bounded_arrow, free_names, narrow_join, stored, tidy
 from .shingles import WIDE, copies_key, crowd_links, crowd_places, majority_bits, member_sets, shingle_hashes, shingled, similar_pairs
 
 #: Fingerprints of a page, of a leaf of its tree, children of a node above, and pairs of nodes looked at together.
@@ -610,6 +610,7 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> Dat
     without an id come after all others. Of rows with equal id and text one stays, the first by its columns as JSON. An
     empty table gives an empty result.
     """
+    gone_id, gone_text, key = free_names(docs, "gone_id", "gone_text", "copies_key")
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.store(shingled(docs, width), "copies-rows")
         order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_digest")
@@ -623,17 +624,18 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> Dat
         kept = scratch.store(of.groupBy("root").agg(F.min("least").alias("k")).select("k.doc_id", "k.text_digest"), "copies-kept")
         here = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_digest"] == b["text_digest"])
         keys = rows.groupBy("doc_id", "text_digest").agg(F.count("*").alias("rows"))
-        gone = stored(keys.join(kept, here(keys, kept), "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("text_digest").alias("gone_text")), "copies-gone")
-        twice = stored(keys.where("rows > 1").join(kept, here(keys, kept), "left_semi").select(F.col("doc_id").alias("gone_id"), F.col("text_digest").alias("gone_text")), "copies-twice")
-    keyed = docs.withColumn("_copies_key", copies_key("text"))
+        named = [F.col("doc_id").alias(gone_id), F.col("text_digest").alias(gone_text)]
+        gone = stored(keys.join(kept, here(keys, kept), "left_anti").select(*named), "copies-gone")
+        twice = stored(keys.where("rows > 1").join(kept, here(keys, kept), "left_semi").select(*named), "copies-twice")
+    keyed = docs.withColumn(key, copies_key("text"))
 
     def joined(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
-        same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("_copies_key") == F.col("gone_text"))
-        return narrow_join(rows, table, same, how, F.xxhash64("_copies_key"), F.xxhash64("gone_text"))
+        same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_text))
+        return narrow_join(rows, table, same, how, F.xxhash64(key), F.xxhash64(gone_text))
 
     left = joined(keyed, gone, "left_anti")
     if twice.isEmpty():
         return left.select(*docs.columns)
     row = F.struct(*docs.columns)
-    once = joined(left, twice, "left_semi").groupBy("doc_id", "_copies_key").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    once = joined(left, twice, "left_semi").groupBy("doc_id", key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return joined(left, twice, "left_anti").select(*docs.columns).unionByName(once)

@@ -1,7 +1,11 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from narrative_spark.llm import queries
+from narrative_spark.llm import queries, runtime
+from narrative_spark.llm.decontaminate import drop_contaminated
+from narrative_spark.llm.simhash import keep_one
 
 from .conftest import prose
 
@@ -96,6 +100,20 @@ def test_stages_judge_rows_by_their_text(spark, tmp_path):
     assert sorted({str(r.doc_id) for r in packed}) == sorted({i for i, _ in clean}) and sum(r.piece == 0 for r in packed) == len(clean)
 
 
+@pytest.mark.parametrize("small", [0, 400_000])
+def test_columns_named_as_inside(spark, monkeypatch, small):
+    """Extra columns may have the names that the stages use for their own, in any case, and keep their values."""
+    monkeypatch.setattr(runtime, "SMALL", small)
+    names = ["gone", "GONE_ID", "gone_text", "_gone_text", "copies_key", "_copies_key", "filter_word", "_word", "_place", "_bits"]
+    texts = [prose(1, 80), prose(1, 80), prose(2, 80), prose(3, 80)]
+    rows = [(k, t, *([f"x{k}"] * len(names))) for k, t in enumerate(texts)] + [(2, texts[2], *(["x2"] * len(names)))]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]
+    clean = drop_contaminated(docs, spark.createDataFrame([(1, texts[3])], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect())) == sorted([*rows[:3], rows[4]])
+
+
 def test_near_copies_caught(spark, tmp_path):
     """Recall of the stage at its own setting: copies with a similarity of 0.8 or more by brute force."""
     from narrative_spark.llm import simhash
