@@ -130,6 +130,29 @@ def merged(labels, i, j):
         labels = parent[labels]
 
 
+#: Edges of a table, 4 MB, that one task joins.
+FEW = 1 << 18
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` as :func:`components`, which takes larger tables. Few edges are joined in one task: for them, the
+    rounds would cost the driver more in plans than they spread in work. The table is read twice."""
+    if edges.count() > FEW:
+        return components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        found = [np.stack([np.asarray(b.column(k)) for k in (0, 1)]) for b in batches]
+        u, v = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        labels = merged(np.arange(len(ids)), at[: len(u)], at[len(u) :])
+        own = np.flatnonzero(labels != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[labels[own]])], names=["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node bigint, root bigint")
+
+
 def _small_labels(values, distance: int):
     import numpy as np
 
@@ -578,7 +601,7 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, num: int, den:
     named = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = member_sets(named, nodes, docs, width, scratch)
     links = scratch.store(similar_pairs(tried, sets, num, den, scratch), "copies-links")
-    roots = scratch.store(components(links), "copies-roots")
+    roots = scratch.store(linked(links), "copies-roots")
     del found
     tidy(nodes.sparkSession)
     found = met(roots, open_pairs(REACH))
@@ -586,7 +609,8 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, num: int, den:
     different = F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
     crossed = with_pages(scratch.store(page_pairs(pages, REACH, different), "copies-pages"), pages, "members", "nodes", "roots")
     edges = found.where("not page").select("u", "v").unionByName(crossed.mapInArrow(open_cross(REACH), "u bigint, v bigint"))
-    joined = components(edges).select("node", F.col("root").alias("crowd"))
+    joined = linked(scratch.store(edges.distinct(), "copies-edges")).select("node", F.col("root").alias("crowd"))
+    joined = scratch.store(joined, "copies-joined")
     crowds = scratch.store(joined.unionByName(joined.select(F.col("crowd").alias("node"), "crowd").distinct()), "copies-crowds")
     if crowds.isEmpty():
         return roots
@@ -596,7 +620,7 @@ def similar_groups(nodes: DataFrame, docs: DataFrame, width: int, num: int, den:
     known = crowds.join(nodes.select(*INDEXED[:-1]), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = crowd_places(known, sets).groupBy("crowd", "a", "b").applyInArrow(crowd_links(num, den, REACH), "u bigint, v bigint")
     links = links.unionByName(scratch.store(more, "copies-links"))
-    return scratch.store(components(links), "copies-roots")
+    return scratch.store(linked(links), "copies-roots")
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:

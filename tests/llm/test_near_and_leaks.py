@@ -215,6 +215,14 @@ def test_components(spark):
     assert components(edges.where("u < 0")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_few_edges_and_many(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 6), (7, 7), (2, 1)] + [(100 + k, 101 + k) for k in range(9)], "u long, v long")
+    assert {r.node: r.root for r in simhash.linked(edges).collect()} == {2: 1, 3: 1, 5: 4, 6: 4} | {101 + k: 100 for k in range(9)}
+    assert simhash.linked(edges.where("u < 0")).count() == 0
+
+
 def brute_leaks(docs, items, width=10):
     words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     out = []
