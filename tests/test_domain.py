@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,21 @@ def test_passed_over_matches_do_not_count(spark):
     assert all(r.proof.endswith("（标记：即是）") for r in got if r.tier == "forced")
 
 
+def test_windows_find_what_a_whole_search_finds():
+    import random
+
+    r = random.Random(6)
+    parts = ["甲乙", "丙", "丁戊己", "x", "，", "。", "\n", "\u3000", "其", "父親", "大兒子", "名叫", "就是", "本是同一人", "不是別人，正是", "即是", "小名"]
+    for _ in range(300):
+        text = "".join(r.choice(parts) for _ in range(60)) + " " * 30 + "".join(r.choice(parts[:9]) for _ in range(40)) + "".join(r.choice(parts) for _ in range(40))
+        clauses = [(no * 256 + k, m[1], m[2], m[4]) for no, c in enumerate(re.split(rules.CLAUSE_END, text)) for k, m in enumerate(aliases._RELATIVES.finditer(c))]
+        assert aliases._relatives(text) == clauses
+        whole = [(tier, m.start(), m[3]) for tier, _, pattern, _ in aliases._TIERS for m in pattern.finditer(text)]
+        assert [(tier, at, marker) for tier, at, _, _, marker, _ in aliases._occurrences(text)] == whole
+    # a text without the words is never searched by a pattern
+    assert aliases.scan.windows("x" * 1000, rules.KINSHIP, lambda _, k: k, lambda _, k: k) == []
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("b", f"n{k:02}", f"n{k + 1:02}") for k in range(20)] + [("b", "長長的名字", "n00"), ("c", "x", "y")], "book_id string, a string, b string")
     roots = {r.name: r.root for r in aliases.components(edges).collect()}
