@@ -91,7 +91,7 @@ def merge_aliases(candidates: DataFrame, chapters: DataFrame, complete: Completi
     """
     ordered = candidates.select("book_id", (F.col("rank") - 1).alias("pos"), "name")
     texts = chapters.select("book_id", "chapter_index", F.col("content").alias("text"))
-    forbidden = kept(aliases.forbidden_pairs(aliases.family_relations(texts), ordered), "forbidden-pairs")
+    forbidden = kept(aliases.forbidden_pairs(aliases.family_relations(texts), ordered, rules.MOST_PAIRS), "forbidden-pairs")
     proofs = kept(aliases.evidence(aliases.marker_matches(texts, ordered), forbidden), "evidence")
     sent, _ = aliases.with_contexts(candidates)
     line = F.struct("rank", F.concat(F.lit("- "), "name", F.lit("："), names.context_lines(F.col("contexts"))).alias("line"))

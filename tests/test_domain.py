@@ -96,6 +96,18 @@ def test_passed_over_matches_do_not_count(spark):
     assert all(r.proof.endswith("（标记：即是）") for r in got if r.tier == "forced")
 
 
+def test_all_pairs_count_without_a_cap(spark):
+    text = "白榆的妹妹名叫白棠。" * 201 + "顾南舟的妹妹名叫阿霜。" + "贺兰即是贺兰霜。" * 201 + "顾南舟就是白榆。顾南舟即是阿霜。陆沉就是阿霜。"
+    texts, known = told(spark, text), called(spark, "白榆", "白棠", "贺兰", "贺兰霜", "顾南舟", "阿霜", "陆沉")
+    relations = aliases.family_relations(texts)
+    assert aliases.forbidden_pairs(relations, known, rules.MOST_PAIRS).count() == 1
+    forbidden = aliases.forbidden_pairs(relations, known)
+    assert {frozenset((r.a, r.b)) for r in forbidden.collect()} == {frozenset(("白榆", "白棠")), frozenset(("顾南舟", "阿霜"))}
+    got = {frozenset((r.a, r.b)): (r.tier, r.seq) for r in aliases.evidence(aliases.marker_matches(texts, known), forbidden, None).collect()}
+    assert got == {frozenset(("贺兰", "贺兰霜")): ("forced", 1), frozenset(("顾南舟", "白榆")): ("hint", 202), frozenset(("陆沉", "阿霜")): ("hint", 203)}
+    assert "k <= 200" not in Q.ORACLES["q20_same_person_evidence"]
+
+
 def test_windows_find_what_a_whole_search_finds():
     import random
 
