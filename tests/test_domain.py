@@ -123,6 +123,13 @@ def test_windows_find_what_a_whole_search_finds():
     assert aliases.scan.windows("x" * 1000, rules.KINSHIP, lambda _, k: k, lambda _, k: k) == []
 
 
+def test_candidates_whose_first_sentences_only_begin_like_them(spark, tmp_path):
+    rows = [(k, "s", "en", t) for k, t in enumerate(["Marka Marka. Markab. Markac. Markad. Mark.", "Mark Marka", "Mark"])]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    # Mark, Marka, Markab, Markac and Markad: each ends a sentence, though Mark stands in four others before
+    assert [tuple(x) for x in Q.q67_candidates_with_contexts(spark, str(tmp_path)).collect()] == [("s", 5, 0)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("b", f"n{k:02}", f"n{k + 1:02}") for k in range(20)] + [("b", "長長的名字", "n00"), ("c", "x", "y")], "book_id string, a string, b string")
     roots = {r.name: r.root for r in aliases.components(edges).collect()}
