@@ -83,14 +83,17 @@ def parsed(c: Column | str) -> Column:
 
     The parser stops behind a first value; in brackets and in braces, what follows a value shows, a closing one too.
     """
-    c = col(c)
-    whole = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
-    return F.when(whole, F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit("}"))), "$.x", "variant"))
+    whole = lambda c: F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull()
+    return once(col(c), lambda c: F.when(whole(c), F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit("}"))), "$.x", "variant")))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, for which ``value`` is computed once a row, however often and under whatever conditions it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _list(json_text: Column, *paths: str) -> Column:
-    v = parsed(json_text)
-    return F.coalesce(*(F.try_variant_get(v, p, "array<string>") for p in paths))
+    return once(parsed(json_text), lambda v: F.coalesce(*(F.try_variant_get(v, p, "array<string>") for p in paths)))
 
 
 def names_of(reply: Column | str, keys: tuple[str, ...] = ("characters", "names", "people", "result")) -> Column:
@@ -105,8 +108,7 @@ GROUP = "array<struct<main:string,aliases:array<string>,reason:string>>"
 
 def alias_groups_of(reply: Column | str) -> Column:
     """Groups with a main name; the main name isn't one of its aliases, and groups without aliases go."""
-    v = parsed(unfenced(reply))
-    groups = F.coalesce(F.try_variant_get(v, "$.groups", GROUP), F.try_variant_get(v, "$", GROUP), F.array().cast(GROUP))
+    groups = once(parsed(unfenced(reply)), lambda v: F.coalesce(F.try_variant_get(v, "$.groups", GROUP), F.try_variant_get(v, "$", GROUP), F.array().cast(GROUP)))
     tidy = F.transform(
         F.filter(groups, lambda g: F.coalesce(F.trim(g["main"]), F.lit("")) != ""),
         lambda g: F.struct(
@@ -121,7 +123,10 @@ def alias_groups_of(reply: Column | str) -> Column:
 def persona_of(reply: Column | str) -> Column:
     """A persona increment of a reply; a lone string or object where a list belongs is a list of one. Null if it isn't
     an object."""
-    v = parsed(unfenced(reply))
+    return once(parsed(unfenced(reply)), _increment)
+
+
+def _increment(v: Column) -> Column:
     text = lambda k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")).alias(k)
     pairs = "array<struct<target:string,change:string>>"
     quotes = "array<struct<field:string,text:string,confidence:string>>"
@@ -141,9 +146,8 @@ def persona_of(reply: Column | str) -> Column:
 
 def cached_tokens(usage: Column) -> Column:
     """Cached prompt tokens of a usage object, whichever of the known places has them."""
-    v = parsed(usage)
     paths = ("$.prompt_tokens_details.cached_tokens", "$.prompt_cache_hit_tokens", "$.cache_read_input_tokens")
-    return F.coalesce(*(F.try_variant_get(v, p, "bigint") for p in paths), F.lit(0))
+    return once(parsed(usage), lambda v: F.coalesce(*(F.try_variant_get(v, p, "bigint") for p in paths), F.lit(0)))
 
 
 def names_stub(prompt: str) -> dict:

@@ -374,3 +374,11 @@ def test_replies(spark):
 
 def test_queries_and_oracles_match_names():
     assert set(Q.ORACLES) <= set(Q.QUERIES)
+
+
+def test_a_reply_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"personality": "冷"}',)], "reply string")
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    # once to see that it is whole, once for its value
+    for made in (model.persona_of("reply"), model.alias_groups_of("reply"), model.names_of("reply"), model.cached_tokens(F.col("reply"))):
+        assert plan(made).count("try_parse_json") == 2
