@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.model import parsed
+from ..functions.model import once, parsed
 
 # Names of the card format.
 STANDARD = ("name", "description", "personality", "scenario", "first_mes", "mes_example", "creator_notes")
@@ -145,39 +145,56 @@ def to_json(cards: DataFrame, namespace: str = "narrative") -> DataFrame:
 
 
 def _kind(v: Column) -> Column:
+    """The schema of a variant, which is slow: it walks through the whole value."""
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
+def _void(v: Column) -> Column:
+    return v.isNull() | F.is_variant_null(v)
+
+
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def _get(v: Column, key: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, f"$['{key}']", kind)
 
 
 def as_text(v: Column) -> Column:
     """A variant as text: a missing one is empty, truth values are spelt ``True`` and ``False``."""
-    kind = _kind(v)
-    return F.when(kind == "VOID", "").when(kind == "BOOLEAN", F.initcap(F.try_variant_get(v, "$", "string"))).otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v), F.lit("")))
+    truth = lambda v, s: F.when(s.isin("true", "false") & (_kind(v) == "BOOLEAN"), F.initcap(s)).otherwise(s)
+    return once(v, lambda v: F.coalesce(once(F.try_variant_get(v, "$", "string"), lambda s: truth(v, s)), F.when(~_void(v), F.to_json(v)), F.lit("")))
 
 
 def as_list(v: Column) -> Column:
     """A variant as a list of texts: a filled text or a number is a list of one."""
-    kind, one = _kind(v), as_text(v)
-    many = F.transform(F.try_variant_get(v, "$", "array<variant>"), as_text)
-    return F.when(kind.startswith("ARRAY"), many).when((kind == "VOID") | (one == ""), _none("array<string>")).otherwise(F.array(one))
+    many = lambda v: F.transform(F.try_variant_get(v, "$", "array<variant>"), as_text)
+    alone = lambda v: once(as_text(v), lambda one: F.when(one == "", _none("array<string>")).otherwise(F.array(one)))
+    return once(v, lambda v: F.coalesce(many(v), alone(v)))
 
 
 def as_bool(v: Column, default: bool) -> Column:
     """A variant as a truth value: texts by meaning, numbers unless zero, anything else by default."""
-    kind, number = _kind(v), F.try_variant_get(v, "$", "double")
-    said = F.lower(F.trim(F.try_variant_get(v, "$", "string"))).isin("1", "true", "yes", "on")
-    return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind == "STRING", said).when(number.isNotNull(), number != 0).otherwise(F.lit(default))
+
+    def of(v: Column, kind: Column) -> Column:
+        number = F.try_variant_get(v, "$", "double")
+        said = F.lower(F.trim(F.try_variant_get(v, "$", "string"))).isin("1", "true", "yes", "on")
+        return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind == "STRING", said).when(number.isNotNull(), number != 0).otherwise(F.lit(default))
+
+    return once(v, lambda v: once(_kind(v), lambda kind: of(v, kind)))
 
 
 def as_int(v: Column, default: int = 0) -> Column:
     """A variant as a whole number: fractions are cut off, texts have to be whole numbers."""
-    kind, said = _kind(v), F.trim(F.try_variant_get(v, "$", "string"))
-    text = F.when(said.rlike(r"^[+-]?\d{1,9}$"), said.try_cast("int"))
-    number = F.try_variant_get(v, "$", "double").try_cast("int")
-    return F.coalesce(F.when(kind == "STRING", text).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int")).otherwise(number), F.lit(default))
+
+    def of(v: Column, kind: Column) -> Column:
+        said = F.trim(F.try_variant_get(v, "$", "string"))
+        text = F.when(said.rlike(r"^[+-]?\d{1,9}$"), said.try_cast("int"))
+        number = F.try_variant_get(v, "$", "double").try_cast("int")
+        return F.coalesce(F.when(kind == "STRING", text).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int")).otherwise(number), F.lit(default))
+
+    return once(v, lambda v: once(_kind(v), lambda kind: of(v, kind)))
 
 
 def _filled(*options: Column) -> Column:
@@ -194,13 +211,13 @@ def _objects(v: Column, fields: dict[str, str]) -> Column:
         for k, kind in fields.items():
             value = read[kind](_get(x, k))
             if k in NULLABLE:
-                value = F.when(_kind(_get(x, k)) != "VOID", value)
+                value = F.when(~_void(_get(x, k)), value)
             elif k in DEFAULTS:
-                value = F.when(_kind(_get(x, k)) == "VOID", DEFAULTS[k]).otherwise(value)
+                value = F.when(_void(_get(x, k)), DEFAULTS[k]).otherwise(value)
             made.append(value.alias(k))
         return F.struct(*made)
 
-    return F.coalesce(F.transform(F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: _kind(x).startswith("OBJECT")), one), _none(f"array<{struct_type(fields)}>"))
+    return F.coalesce(F.transform(F.filter(F.try_variant_get(v, "$", "array<variant>"), _is_object), one), _none(f"array<{struct_type(fields)}>"))
 
 
 def import_cards(raw: DataFrame, namespace: str = "narrative") -> DataFrame:
@@ -210,14 +227,14 @@ def import_cards(raw: DataFrame, namespace: str = "narrative") -> DataFrame:
     under ``entries``, its unknown keys are kept. What isn't an object has ``ok`` false and empty fields.
     """
     v = raw.withColumn("v", parsed("json"))
-    v = v.withColumn("ok", _kind(F.col("v")).startswith("OBJECT")).withColumn("v", F.when(F.col("ok"), F.col("v")))
+    v = v.withColumn("ok", _is_object(F.col("v"))).withColumn("v", F.when(F.col("ok"), F.col("v")))
     inner = _get(F.col("v"), "data")
-    wrapped = _kind(inner).startswith("OBJECT") & (F.coalesce(_get(F.col("v"), "spec", "string"), F.lit("")).isin(*SPECS) | _get(F.col("v"), "name").isNull())
+    wrapped = _is_object(inner) & (F.coalesce(_get(F.col("v"), "spec", "string"), F.lit("")).isin(*SPECS) | _get(F.col("v"), "name").isNull())
     v = v.withColumn("d", F.when(wrapped, inner).otherwise(F.col("v"))).withColumn("e", F.try_variant_get("d", f"$.extensions['{namespace}']", "variant"))
     flat = lambda k: _get(F.col("d"), k)
     deep = lambda k: F.coalesce(_get(F.col("e"), k), flat(k))  # noqa: E731 - a key of the extension counts even if it is null
     book = flat("character_book")
-    items = F.filter(F.coalesce(F.try_variant_get(book, "$.entries", "array<variant>"), F.try_variant_get(book, "$", "array<variant>"), _none("array<variant>")), lambda x: _kind(x).startswith("OBJECT"))
+    items = F.filter(F.coalesce(F.try_variant_get(book, "$.entries", "array<variant>"), F.try_variant_get(book, "$", "array<variant>"), _none("array<variant>")), _is_object)
     v = v.withColumn("items", items)
 
     def entry(x: Column) -> Column:
@@ -235,5 +252,5 @@ def import_cards(raw: DataFrame, namespace: str = "narrative") -> DataFrame:
         F.coalesce(F.nullif(as_text(flat("character_version")), F.lit("")), F.lit("1.0")).alias("character_version"),
         *(as_text(deep(c)).alias(c) for c in STRUCTURED), *(_objects(deep(c), fields).alias(c) for c, fields in LISTS.items()),
         F.transform("items", entry).alias("character_book"), F.when(F.exists(extra, lambda x: x != "{}"), extra).alias("lore"),
-        F.nullif(as_text(deep("source_book")), F.lit("")).alias("source_book"), F.when(_kind(meta).startswith("OBJECT"), F.to_json(meta)).alias("extraction_meta"),
+        F.nullif(as_text(deep("source_book")), F.lit("")).alias("source_book"), F.when(_is_object(meta), F.to_json(meta)).alias("extraction_meta"),
     )

@@ -382,3 +382,10 @@ def test_a_reply_is_parsed_once(spark):
     # once to see that it is whole, once for its value
     for made in (model.persona_of("reply"), model.alias_groups_of("reply"), model.names_of("reply"), model.cached_tokens(F.col("reply"))):
         assert plan(made).count("try_parse_json") == 2
+
+
+def test_the_schema_of_a_value_is_asked_once(spark):
+    rows = spark.createDataFrame([('{"a": 1}',)], "j string").select(F.try_parse_json("j").alias("v"))
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    for made in (cards.as_text(F.col("v")), cards.as_int(F.col("v")), cards.as_bool(F.col("v"), True)):
+        assert plan(made).count("schema_of_variant") == 1
