@@ -389,3 +389,11 @@ def test_the_schema_of_a_value_is_asked_once(spark):
     plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
     for made in (cards.as_text(F.col("v")), cards.as_int(F.col("v")), cards.as_bool(F.col("v"), True)):
         assert plan(made).count("schema_of_variant") == 1
+
+
+def test_rounds_of_components_pass_no_labels_through_the_driver(spark, monkeypatch):
+    plans, keep = [], aliases.kept
+    monkeypatch.setattr(aliases, "kept", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    edges = spark.createDataFrame([("b", "x", "y"), ("b", "y", "z")], "book_id string, a string, b string")
+    assert {r.root for r in aliases.components(edges).collect()} == {"x"}
+    assert all(p.count("strategy=merge") == p.count("Join ") for p in plans) and "Join " in plans[2]
