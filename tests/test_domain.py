@@ -397,3 +397,11 @@ def test_rounds_of_components_pass_no_labels_through_the_driver(spark, monkeypat
     edges = spark.createDataFrame([("b", "x", "y"), ("b", "y", "z")], "book_id string, a string, b string")
     assert {r.root for r in aliases.components(edges).collect()} == {"x"}
     assert all(p.count("strategy=merge") == p.count("Join ") for p in plans) and "Join " in plans[2]
+
+
+def test_decoding_bounds_its_batches(spark):
+    from narrative_spark.sources import files
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    files.decoded(spark.createDataFrame([("/a.txt", bytearray(b"x"))], "path string, content binary"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
