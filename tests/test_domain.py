@@ -405,3 +405,12 @@ def test_decoding_bounds_its_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     files.decoded(spark.createDataFrame([("/a.txt", bytearray(b"x"))], "path string, content binary"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+
+
+def test_quotes_are_matched_without_a_pattern(spark):
+    from narrative_spark.functions import text as T
+
+    every = "".join(chr(k) for k in range(1, 0x10000) if not 0xD800 <= k < 0xE000)
+    rows = spark.createDataFrame([(every + "\U00020000",), (None,)], "t string").select(T.for_matching("t").alias("n"), F.regexp_replace(F.coalesce("t", F.lit("")), T.unicode_spaces(rules.IGNORED_IN_QUOTES), "").alias("want"))
+    assert all(r.n == r.want for r in rows.collect())
+    assert "regexp_replace" not in rows.select("n")._jdf.queryExecution().optimizedPlan().toString()
